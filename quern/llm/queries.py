@@ -28,8 +28,8 @@ p AS (
 l AS (
   SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r AS (SELECT doc_id AS id, doc_id AS at FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.at),
-m AS (SELECT id, min(at) AS component_id FROM r GROUP BY id)
+r AS (SELECT doc_id AS id, doc_id AS hop FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.hop),
+m AS (SELECT id, min(hop) AS component_id FROM r GROUP BY id)
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM documents JOIN m ON m.id = doc_id LEFT JOIN n USING (doc_id)
 """
