@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quern.llm.shared import forget, save
 
 
+#: A cheap test of two nodes, from two functions that give a payload column of either.
+Near = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
 
@@ -48,13 +52,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return save(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots), "components")
 
 
-def linked_components(buckets: DataFrame, payload: list[str], near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None) -> DataFrame:
     """buckets (key, id, *payload) -> (id, component) over all verified links between ids that share a key.
 
     First each bucket's least id is paired with its other members; what verifies is joined up. Members of one component
     need no further test. Then, in buckets that still hold several components, all pairs across components that pass
     the cheap test `near` on payloads are tried, so no link is lost and groups of copies never expand into all pairs.
-    `verify` takes distinct (a, b) with a < b and returns those that are linked.
+    `verify` takes distinct (a, b) with a < b and returns those that are linked. `refine` may give those few ids a finer
+    payload (id, ...) and a test on it, so that hardly any pair that is not linked is put forward.
     """
     least = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
     kept = save(buckets.join(least, "key"), "buckets")
@@ -67,8 +72,13 @@ def linked_components(buckets: DataFrame, payload: list[str], near: Callable[[Ca
     mixed = part.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
     part = save(part.join(mixed, "key", "left_semi"), "mixed")
     forget(kept)
-    x, y = part.alias("x"), part.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    x_of, y_of = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    close = near(x_of, y_of)
+    if refine:
+        finer, nearer = refine(part.select("id").distinct())
+        part = part.join(finer, "id")
+        close = close & nearer(x_of, y_of)
+    rest = part.alias("x").join(part.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & close)
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     rest = save(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = verify(rest)

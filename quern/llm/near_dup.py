@@ -8,12 +8,14 @@ XOR count rules the similarity out are dropped; the rest are confirmed on the fu
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textkit
@@ -27,8 +29,10 @@ class NearDup:
     """shingle: words a shingle has. percent: the least Jaccard similarity of a link, in hundredths.
 
     bands of rows: a pair of similarity 0.8 misses all 30 bands of 5 with probability (1 - 0.8**5)**30 = 7e-6.
-    sketch_words: 64-bit words of the parity bitmap. far: most XOR bits of a candidate. Each differing MinHash value flips
-    at most two bits, so 120 bits exclude only pairs with over 60 of 150 values differing; at 0.8, 30 differ (deviation 5).
+    sketch_words: 64-bit words of the parity bitmap. far: most XOR bits of a candidate. At 0.8, 30 of 150 values differ
+    (deviation 5); 92 bits stand for 56 values, five deviations away.
+    fine_values, fine_words, fine_far: the same for the second sketch, made only for documents that share a bucket with
+    another component. At 0.8, 192 of 960 values differ (deviation 14 with the bitmap's own); 403 bits stand for 256.
     """
 
     shingle: int = 5
@@ -36,13 +40,16 @@ class NearDup:
     bands: int = 30
     rows: int = 5
     sketch_words: int = 8
-    far: int = 120
+    far: int = 92
+    fine_values: int = 960
+    fine_words: int = 32
+    fine_far: int = 403
 
 
-#: Fixed seeds of up to 512 hash functions.
+#: Fixed seeds of up to 1024 hash functions.
 _seed = np.random.default_rng(7)
-XOR = _seed.integers(0, 2**64, 512, dtype=np.uint64)
-MUL = _seed.integers(0, 2**64, 512, dtype=np.uint64) | U(1)
+XOR = _seed.integers(0, 2**64, 1024, dtype=np.uint64)
+MUL = _seed.integers(0, 2**64, 1024, dtype=np.uint64) | U(1)
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +139,22 @@ def _set_batches(size: int):
     return run
 
 
+def _fine_batches(p: NearDup):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textkit.slices(batch):
+                values, at = shingle_sets(part.column("text"), p.shingle)
+                full = np.flatnonzero(np.diff(at))
+                sketch = odd_sketch(minhashes(values, at[:-1][full], p.fine_values), p.fine_words) if len(full) else np.zeros((0, p.fine_words), U)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(full)), *[pa.array(sketch[:, i].copy().view(np.int64)) for i in range(p.fine_words)]], names=["id", *[f"f{i}" for i in range(p.fine_words)]])
+
+    return run
+
+
+def _apart(x, y, words: list[str]) -> Column:
+    return reduce(operator.add, (F.bit_count(x(c).bitwiseXOR(y(c))) for c in words))
+
+
 def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row per document.
 
@@ -155,18 +178,25 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
     buckets = reps.select(F.explode("keys").alias("key"), "id", "n_shingles", *words)
 
     def near(x, y):
-        apart = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in words[1:]), F.bit_count(x(words[0]).bitwiseXOR(y(words[0]))))
-        return (apart <= p.far) & (F.least(x("n_shingles"), y("n_shingles")) * 100 >= F.greatest(x("n_shingles"), y("n_shingles")) * p.percent)
+        return (_apart(x, y, words) <= p.far) & (F.least(x("n_shingles"), y("n_shingles")) * 100 >= F.greatest(x("n_shingles"), y("n_shingles")) * p.percent)
+
+    def only(ids: DataFrame) -> DataFrame:
+        ids = save(ids, "ids")
+        return docs.join(small(ids, ids.count()), "doc_id", "left_semi")
+
+    def refine(ids: DataFrame):
+        fine = [f"f{i}" for i in range(p.fine_words)]
+        found = only(ids.select(F.col("id").alias("doc_id"))).mapInArrow(_fine_batches(p), "id long, " + ", ".join(f"{c} long" for c in fine))
+        return save(found.dropDuplicates(["id"]), "fine"), lambda x, y: _apart(x, y, fine) <= p.fine_far
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-        need = docs.join(small(ids, ids.count()), "doc_id", "left_semi")
+        need = only(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         sets = save(need.mapInArrow(_set_batches(p.shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * p.percent).select("a", "b")
 
-    found = linked_components(buckets, ["n_shingles", *words], near, verify)
+    found = linked_components(buckets, ["n_shingles", *words], near, verify, refine)
     named = classes.join(found, "id", "left").select("n_shingles", "low", "high", F.coalesce("component", "id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "low", "high").join(named, ["n_shingles", "low", "high"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quern.llm import langid, packing, quality, toxicity
 from quern.llm.near_dup import NearDup, near_duplicates
 from quern.llm.shared import table
 
@@ -34,8 +37,48 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = co
 FROM documents JOIN m ON m.id = doc_id LEFT JOIN n USING (doc_id)
 """
 
+
+
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n: the folds of the labelled rows."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    p = quality.Boosting()
+    trees = quality.fit(docs, labels.where(remainder(5) != 0), p)
+    held = (remainder(5) == 0).alias("held_out")
+    return quality.score(docs, trees).select("doc_id", held, "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path, ranks, public_tokenizers.PATTERN))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    p = toxicity.Toxicity()
+    model = toxicity.fit(docs, labels.where(remainder(4) != 2), p)
+    held = (remainder(4) == 2).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held, "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    p = langid.LangId(public_tokenizers.path("piece_bpe_32k.model"))
+    held = (remainder(5) == 0).alias("held_out")
+    return langid.identify(docs, docs.where(remainder(5) != 0), p).select("doc_id", held, "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": OP3_SQL,
