@@ -48,7 +48,7 @@ class Toxicity:
 
     sample: int = 20_000
     vocabulary: int = 2_000
-    least: int = 15
+    least: int = 8
     ridge: float = 1e-4
     counterfactual: float = 1.0
     rounds: int = 500
