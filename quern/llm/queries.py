@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, langid, packing, quality, topk, toxicity
+from quern.llm import ann, chat, langid, packing, quality, topk, toxicity
 from quern.llm.near_dup import NearDup, near_duplicates
 from quern.llm.shared import table
 
@@ -43,6 +43,30 @@ FROM documents JOIN m ON m.id = doc_id LEFT JOIN n USING (doc_id)
 
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.format_trees(chat.threads(turns)))
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '&(amp|lt|#91);', '&amp;\1;', 'g'),
+      '<(<SYS>>|</SYS>>|/?s>|/ROLE>)', '&lt;\1', 'g'), '\[(/?INST\]|/?ROLE\])', '&#91;\1', 'g') AS body,
+    CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END AS marks FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(body) + marks)::BIGINT AS formatted_chars
+FROM f WHERE conv_id IS NOT NULL GROUP BY conv_id
+"""
+
+
 def remainder(n: int) -> Column:
     """crc32 of doc_id as text, modulo n: the folds of the labelled rows."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -96,6 +120,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -104,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": OP3_SQL,
+    "op5_chat_formatting": OP5_SQL,
     "op7_exact_top_k": OP7_SQL,
 }
