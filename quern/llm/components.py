@@ -78,7 +78,9 @@ def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify
         finer, nearer = refine(part.select("id").distinct())
         part = part.join(finer, "id")
         close = close & nearer(x_of, y_of)
-    rest = part.alias("x").join(part.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & close)
+    part = part.join(part.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair is put forward in one of its buckets only
+    rest = part.alias("x").join(part.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & close & once)
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     rest = save(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = verify(rest)
