@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, chat, langid, lines, packing, quality, topk, toxicity
+from quern.llm import ann, chat, gumbel, langid, lines, packing, quality, topk, toxicity
 from quern.llm.near_dup import NearDup, near_duplicates
 from quern.llm.shared import table
 
@@ -48,6 +48,11 @@ FROM documents JOIN m ON m.id = doc_id LEFT JOIN n USING (doc_id)
 
 
 
+def op4_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = gumbel.Gumbel(public_tokenizers.path("piece_bpe_32k.model"))
+    return gumbel.encode_samples(table(spark, sf_dir, "documents"), p, ids=False)
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_gumbel_segmentations": op4_gumbel_segmentations,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_top_k": op7_exact_top_k,
