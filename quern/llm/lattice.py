@@ -80,8 +80,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Lattice:
     """Edges of all segmentations of distinct units.
 
-    Nodes are numbered unit by unit, one for each byte place and one for the end. Edges are sorted by the place where
-    they end within the unit, so that a sweep over places visits each node after all that lead to it.
+    Nodes are numbered unit by unit, one for each byte place and one for the end.
     """
 
     def __init__(self, vocab: Vocabulary, data: np.ndarray, at: np.ndarray):
@@ -119,18 +118,26 @@ class Lattice:
         begins.append(bare)
         ends.append(bare + 1)
         pieces.append(vocab.byte_id[data[bare]] if len(bare) else np.zeros(0, np.int64))
+        self.groups = np.cumsum([0, *map(len, begins)])
         begin, end, self.piece = np.concatenate(begins), np.concatenate(ends), np.concatenate(pieces)
         unit = owner[begin] if len(begin) else begin
         self.start, self.end = begin + unit, end + unit
         place = end - at[unit] if len(begin) else end
-        order = np.lexsort((self.end, place))
-        self.start, self.end, self.piece, self.unit = self.start[order], self.end[order], self.piece[order], unit[order]
-        place = place[order]
-        self.steps = np.searchsorted(place, np.arange(1, (int(size.max()) if n else 0) + 2))
+        self.unit, self.place, self.sorted = unit, place, False
+        self.longest = int(size.max()) if n else 0
         self.back = None
 
+    def _sort(self) -> None:
+        """Edges by the place where they end, so that a sweep visits each node after all that lead to it."""
+        order = np.argsort(self.place * np.int64(self.nodes + 1) + self.end)
+        self.start, self.end, self.piece, self.unit, self.place = self.start[order], self.end[order], self.piece[order], self.unit[order], self.place[order]
+        self.steps = np.searchsorted(self.place, np.arange(1, self.longest + 2))
+        self.sorted, self.back, self.groups = True, None, None
+
     def forward(self, logp: np.ndarray) -> np.ndarray:
         """Log probability of all ways from a unit's start to each node; logp has a row for each piece id."""
+        if not self.sorted:
+            self._sort()
         a = np.full((self.nodes, logp.shape[1]), -np.inf)
         a[self.first] = 0
         for i, j in zip(self.steps[:-1], self.steps[1:], strict=True):
@@ -144,7 +151,7 @@ class Lattice:
         """Edges by how far their start is from the unit's end, nearest first, and where each distance begins."""
         if self.back is None:
             far = self.last[self.unit] - self.start
-            order = np.lexsort((self.start, far))
+            order = np.argsort(far * np.int64(self.nodes + 1) + self.start)
             self.back = order, np.searchsorted(far[order], np.arange(1, (int(far.max()) if len(far) else 0) + 2))
         return self.back
 
