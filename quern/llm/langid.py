@@ -21,6 +21,8 @@ from quern.llm.textkit import U
 
 #: Unit likelihoods that a worker remembers between slices; a full memory is emptied.
 REMEMBERED = 500_000
+#: Units whose lattices the fit holds at a time.
+UNITS = 10_000
 
 
 @dataclass(frozen=True)
@@ -56,14 +58,18 @@ def fit(texts: list[str], langs: list[str], p: LangId) -> tuple[list[str], np.nd
     if not len(starts):
         return names, logp
     _, joined, at, back = distinct(data, starts, ends)
-    lattice = Lattice(vocab, joined, at)
     which = np.searchsorted(names, np.array(langs))[rows]
     weight = np.bincount(back * len(names) + which, minlength=(len(at) - 1) * len(names)).reshape(-1, len(names))
     for _ in range(p.rounds):
-        a, b = lattice.forward(logp), lattice.backward(logp)
-        total = a[lattice.last]
-        share = np.exp(a[lattice.start] + logp[lattice.piece] + b[lattice.end] - total[lattice.unit]) * weight[lattice.unit]
-        count = np.stack([np.bincount(lattice.piece, share[:, k], vocab.size) for k in range(len(names))], 1) + p.smoothing
+        count = np.full(logp.shape, p.smoothing)
+        for lo in range(0, len(at) - 1, UNITS):  # a part of the units at a time, so that the lattices stay small
+            hi = min(lo + UNITS, len(at) - 1)
+            lattice = Lattice(vocab, joined[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            a, b = lattice.forward(logp), lattice.backward(logp)
+            total = a[lattice.last]
+            for k in range(len(names)):
+                share = np.exp(a[lattice.start, k] + logp[lattice.piece, k] + b[lattice.end, k] - total[lattice.unit, k]) * weight[lo:hi, k][lattice.unit]
+                count[:, k] += np.bincount(lattice.piece, share, vocab.size)
         logp = np.log(count / count.sum(0))
     return names, logp
 
