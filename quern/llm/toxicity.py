@@ -46,12 +46,12 @@ class Toxicity:
     weights. counterfactual: weight of the squared score change under a swap.
     """
 
-    sample: int = 20_000
+    sample: int = 12_000
     vocabulary: int = 2_000
     least: int = 8
     ridge: float = 1e-4
     counterfactual: float = 1.0
-    rounds: int = 500
+    rounds: int = 300
     threshold: float = 0.3
 
 
