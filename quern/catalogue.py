@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from quern.plans import batches, groups, languages, packages, reports
+
+_AREAS = (packages, batches, groups, languages, reports)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for area in _AREAS for k, f in area.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: q for area in _AREAS for k, q in area.ORACLE_SQL.items()}

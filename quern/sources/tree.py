@@ -1,0 +1,152 @@
+"""A Python data source that reads a directory tree: every regular file, hidden and empty ones too, symlinks skipped.
+
+spark.dataSource.register(TreeSource); spark.read.format("quern_tree").option("include_ignored", "true").load(root)
+gives path, bytes, header (first 512 bytes) and content (up to max_bytes, else null). The root must be on a file system
+that all executors mount. Planning lists names only; files are read by the tasks.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+import subprocess
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
+
+# Directories that are never entered.
+EXCLUDED = {".git", ".worktrees", ".build", "target", "build", "DerivedData", "Pods", "Carthage", "node_modules"}
+HEADER, MAX_BYTES, PER_PARTITION = 512, 64 << 20, 500
+
+
+class Ignore:
+    """The rules of one ignore file, relative to its folder; the last match decides."""
+
+    def __init__(self, lines: list[str]):
+        self.rules: list[tuple[re.Pattern, bool, bool]] = []
+        for line in lines:
+            line = line.rstrip("\n")
+            line = line if line.endswith("\\ ") else line.rstrip()
+            if not line or line.startswith("#"):
+                continue
+            negated = line.startswith("!")
+            line = line[1:] if negated else line
+            folder = line.endswith("/")
+            line = line.rstrip("/")
+            anchored = "/" in line
+            self.rules.append((re.compile(self._regex(line.lstrip("/"), anchored)), negated, folder))
+
+    @staticmethod
+    def _regex(glob: str, anchored: bool) -> str:
+        out, i = "" if anchored else "(?:.*/)?", 0
+        while i < len(glob):
+            if glob.startswith("**/", i):
+                out, i = out + "(?:.*/)?", i + 3
+            elif glob.startswith("**", i):
+                out, i = out + ".*", i + 2
+            elif glob[i] == "*":
+                out, i = out + "[^/]*", i + 1
+            elif glob[i] == "?":
+                out, i = out + "[^/]", i + 1
+            elif glob[i] == "[" and "]" in glob[i + 1 :]:
+                end = glob.index("]", i + 1)
+                out, i = out + glob[i : end + 1].replace("[!", "[^"), end + 1
+            else:
+                out, i = out + re.escape(glob[i]), i + 1
+        return out + r"\Z"
+
+    def verdict(self, relative: str, is_dir: bool) -> bool | None:
+        out = None
+        for pattern, negated, folder in self.rules:
+            if (is_dir or not folder) and pattern.match(relative):
+                out = not negated
+        return out
+
+
+def tracked(root: str) -> set[str]:
+    """Files that git tracks, which count even when ignored; none without git."""
+    try:
+        done = subprocess.run(["git", "-C", root, "ls-files", "-z"], capture_output=True, timeout=60)
+    except (OSError, subprocess.TimeoutExpired):
+        return set()
+    return set(filter(None, done.stdout.decode(errors="surrogateescape").split("\0"))) if done.returncode == 0 else set()
+
+
+def walk(root: str, include_ignored: bool = False) -> list[str]:
+    """Relative paths of a tree's files, in order of their parts."""
+    found: list[str] = []
+    known = set() if include_ignored else tracked(root)
+    above = {os.path.dirname(k) for k in known}
+    while any(os.path.dirname(a) not in above for a in above if a):
+        above |= {os.path.dirname(a) for a in above if a}
+
+    def rules_of(folder: str) -> list[tuple[str, Ignore]]:
+        out = []
+        for name in (".git/info/exclude", ".gitignore", ".ignore") if not folder else (".gitignore", ".ignore"):
+            path = os.path.join(root, folder, name)
+            if os.path.isfile(path):
+                with open(path, encoding="utf-8", errors="replace") as f:
+                    out.append((folder, Ignore(f.readlines())))
+        return out
+
+    def ignored(path: str, is_dir: bool, rules: list[tuple[str, Ignore]]) -> bool:
+        out = False
+        for base, ignore in rules:
+            said = ignore.verdict(path[len(base) + 1 :] if base else path, is_dir)
+            out = out if said is None else said
+        return out
+
+    def visit(folder: str, rules: list[tuple[str, Ignore]]) -> None:
+        rules = rules if include_ignored else rules + rules_of(folder)
+        for entry in sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name):
+            path = f"{folder}/{entry.name}" if folder else entry.name
+            if entry.is_symlink():
+                continue
+            if entry.is_dir():
+                if entry.name not in EXCLUDED and (include_ignored or not ignored(path, True, rules) or path in above):
+                    visit(path, rules)
+            elif entry.is_file() and (include_ignored or path in known or not ignored(path, False, rules)):
+                found.append(path)
+
+    visit("", [])
+    return sorted(found, key=lambda p: p.split("/"))
+
+
+class _Files(InputPartition):
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.root = options["path"]
+        self.include = str(options.get("include_ignored", "false")).lower() == "true"
+        self.most = int(options.get("max_bytes", MAX_BYTES))
+
+    def partitions(self) -> list[_Files]:
+        names = walk(self.root, self.include)
+        return [_Files(names[i : i + PER_PARTITION]) for i in range(0, len(names), PER_PARTITION)] or [_Files([])]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for name in partition.names:
+            path = os.path.join(self.root, name)
+            if os.path.islink(path):
+                continue
+            size = os.path.getsize(path)
+            with open(path, "rb") as f:
+                content = f.read() if size <= self.most else None
+                header = content[:HEADER] if content is not None else f.read(HEADER)
+            yield name, size, header, content
+
+
+class TreeSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "quern_tree"
+
+    def schema(self) -> str:
+        return "path string, bytes bigint, header binary, content binary"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Reader(dict(self.options))
