@@ -36,8 +36,9 @@ def min_sdk(files: DataFrame) -> DataFrame:
     catalog = catalog.select("path", key(F.regexp_extract("line", "^([^=]*)", 1)).alias("key"), F.regexp_extract("line", r'"(\d+)"', 1).cast("int").alias("level"))
     catalog = catalog.groupBy("key").agg(F.max_by(F.struct("level", F.col("path").alias("source")), "path").alias("c")).select("key", "c.*")
     builds = files.where(name.isin("build.gradle", "build.gradle.kts"))
-    literal = builds.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:minSdkVersion|minSdk)\s*(?:=|\s|\()\s*(\d{1,3})\b"), F.lit(1))).cast("int").alias("level"), F.col("path").alias("source"))
-    lookup = builds.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:minSdkVersion|minSdk)\b[^\n]*?libs\.versions\.([A-Za-z0-9_.]+?)\.get\(\)"), F.lit(1))).alias("key")).select(key(F.col("key")).alias("key")).join(catalog, "key").select("level", "source")
+    literal = builds.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:minSdkVersion|minSdk)\s*(?:=|\s|\()\s*(\d{1,3})\b"), F.lit(1))).alias("level"), F.col("path").alias("source"))
+    literal = literal.select(F.col("level").cast("int").alias("level"), "source")
+    lookup = builds.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:minSdkVersion|minSdk)\b[^\n]*?libs\.versions\.([A-Za-z0-9_.]+?)\.get\(\)"), F.lit(1))).alias("key")).select(key("key").alias("key")).join(catalog, "key").select("level", "source")
     found = literal.union(lookup).withColumn("fallback", F.lit(0)).union(catalog.where(F.col("key").isin("minsdk", "minsdkversion", "androidminsdk")).select("level", "source", F.lit(1)))
     best = found.where("level between 1 and 99 or fallback = 0").agg(F.min("fallback").alias("f"))
     return found.join(best, F.col("fallback") == F.col("f")).where("level between 1 and 99").agg(F.min(F.struct("level", "source")).alias("m")).where("m is not null").select("m.*")
