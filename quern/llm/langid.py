@@ -123,7 +123,7 @@ def lettered(column: pa.Array) -> np.ndarray:
     return has
 
 
-def _batches(path: str, names: list[str], logp: np.ndarray):
+def _batches(path: str, names: list[str], logp: np.ndarray, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(path, logp)
         for batch in batches:
@@ -134,7 +134,7 @@ def _batches(path: str, names: list[str], logp: np.ndarray):
                 score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                 ok = lettered(text)
                 lang = [names[k] if good else "und" for k, good in zip(best, ok, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.where(ok, score, 0.0))], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(np.where(ok, score, 0.0))], names=[*keep, "lang_pred", "score"])
 
     return run
 
@@ -150,17 +150,20 @@ def training_sample(docs: DataFrame, p: LangId) -> DataFrame:
     return docs.where(spot < share).limit(3 * p.docs_per_language * max(1, len(counts)))
 
 
-def identify(docs: DataFrame, labelled: DataFrame, p: LangId) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, p: LangId, keep: list[str] | None = None) -> DataFrame:
     """docs (doc_id, text, ...), labelled (doc_id, text, lang, ...) -> (doc_id, lang_pred, score), one row per document.
 
     score is the probability of lang_pred among the learned languages. Null texts and texts without a letter: `und`
     and 0. Without any labelled row everything is `und`. Ties go to the name that sorts first. lang and source of docs
-    are not read, so extra columns can't clash.
+    are not read, so extra columns can't clash. keep: columns to return instead of doc_id, so that a filter needs no
+    join; columns of docs named lang_pred or score are not among them.
     """
     ready(docs.sparkSession)
     sample = training_sample(labelled, p).select("text", "lang").toPandas()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cols = [c for c in keep if c not in ("lang_pred", "score")] if keep else ["doc_id"]
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")).select(*dict.fromkeys([*cols, "text"]))
     if not len(sample):
-        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*cols, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     names, logp = fit(sample["text"].tolist(), sample["lang"].tolist(), p)
-    return docs.mapInArrow(_batches(p.vocabulary, names, logp), "doc_id long, lang_pred string, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema)
+    return docs.mapInArrow(_batches(p.vocabulary, names, logp, cols), f"{schema}, lang_pred string, score double")

@@ -157,11 +157,11 @@ def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), flat], names=["doc_id", "stats"])
 
 
-def _score_batches(trees: Trees):
+def _score_batches(trees: Trees, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textkit.slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(trees.score(statistics(part.column("text"))))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(trees.score(statistics(part.column("text"))))], names=[*names, "score"])
 
     return run
 
@@ -185,12 +185,15 @@ def fit(docs: DataFrame, labels: DataFrame, p: Boosting | None = None) -> Trees:
     return grow(x, rows["label"].to_numpy(float), p)
 
 
-def score(docs: DataFrame, trees: Trees) -> DataFrame:
+def score(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, score), one row per document; score is the probability of good quality.
 
     A null or empty text is scored by its statistics, all 0. Repeated rows are scored each. Only doc_id and text are
-    read. Without labels of both kinds every score is the same.
+    read. Without labels of both kinds every score is the same. keep: columns to return instead of doc_id, so that a
+    filter needs no join; a column of docs named score is not among them.
     """
     ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_score_batches(trees), "doc_id long, score double")
+    names = [c for c in keep if c != "score"] if keep else ["doc_id"]
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")).select(*dict.fromkeys([*names, "text"]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    return docs.mapInArrow(_score_batches(trees, names), f"{schema}, score double")

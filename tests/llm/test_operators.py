@@ -196,3 +196,13 @@ def test_gumbel_operator(spark, docs):
     again = gumbel.encode_samples(docs.where("doc_id = 3"), p).collect()
     assert {tuple(r["ids"]) for r in again} == {tuple(r["ids"]) for r in out if r["doc_id"] == 3}  # other rows don't matter
     assert gumbel.encode_samples(docs.limit(0), p).count() == 0
+
+
+def test_simhash_is_the_majority_of_word_hashes(spark):
+    import xxhash
+
+    texts = [(1, "a b c d e"), (2, "one two three four five six"), (3, " ".join(f"w{i % 7}" for i in range(301)))]
+    got = {r["doc_id"]: r["simhash"] & (2**64 - 1) for r in lines.simhashes(lines.explode_lines(spark.createDataFrame(texts, "doc_id long, text string"), lines.LineDedup())).collect()}
+    for i, t in texts:
+        hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in t.split()]
+        assert got[i] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
