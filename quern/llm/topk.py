@@ -22,7 +22,7 @@ from quern.llm.vectors import best, in_blocks, matrix, valid
 
 @dataclass(frozen=True)
 class SortedLists:
-    """resolve: reading stops once at most this many rows can qualify. first: rows read from each list at first; each further read is twice as long."""
+    """resolve: reading stops once at most this many rows can qualify. first: fewest rows of each list that one step reads; a step reads half of what is left, as bounds in many dimensions only bite late."""
 
     k: int = 10
     resolve: int = 40
@@ -31,33 +31,43 @@ class SortedLists:
     query_rows: int = 1_024
 
 
-def nra(values: np.ndarray, order: np.ndarray, query: np.ndarray, skip: int, p: SortedLists) -> np.ndarray:
-    """Rows that may be among the k best by inner product with query, all of the best included. values, order: the lists, ascending."""
-    n = len(values)
+def lists_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted lists of a block: each component's values, ascending, and each row's place in each list."""
+    order = rows.argsort(0, kind="stable")
+    place = np.empty(rows.shape, np.int32)
+    np.put_along_axis(place, order, np.arange(len(rows), dtype=np.int32)[:, None], 0)
+    return np.take_along_axis(rows, order, 0), place
+
+
+def nra(rows: np.ndarray, values: np.ndarray, place: np.ndarray, query: np.ndarray, skip: int, p: SortedLists) -> np.ndarray:
+    """Numbers of the rows that may be among the k best by inner product with query, all of the best included.
+
+    rows: the block as doubles; values, place: its lists. What reading has shown of a row so far are the components whose
+    place lies within the depth read from the list's better end; only those enter its bounds.
+    """
+    n = len(rows)
+    alive = np.arange(n)
     lists = np.flatnonzero(query)
     weight = query[lists].astype(float)
-    best_end = np.where(weight > 0, n - 1, 0)
-    worst = weight * np.where(weight > 0, values[0, lists], values[n - 1, lists])
-    step = np.where(weight > 0, -1, 1)
-    known = np.zeros((n, len(lists)))
-    total = np.zeros(n)
-    alive = np.arange(n)
-    read, size = 0, p.first
+    better = weight > 0
+    all_lists = len(lists) == rows.shape[1]
+    worst = weight * np.where(better, values[0, lists], values[n - 1, lists])
+    read = 0
     while read < n and len(alive) > max(p.resolve, p.k):
-        upto = min(n, read + size)
-        at = best_end + step * np.arange(read, upto)[:, None]
-        rows = order[at, lists]
-        total += np.bincount(rows.ravel(), (values[at, lists] * weight).ravel(), n)
-        known[rows, np.arange(len(lists))] = 1
-        last = weight * values[at[-1], lists]
-        seen = known[alive]
-        low = total[alive] + worst.sum() - seen @ worst
-        high = total[alive] + last.sum() - seen @ last
+        read = min(n, read + max(p.first, (n - read) // 2))
+        own, spot = (rows, place) if len(alive) == n else (rows[alive], place[alive])
+        if not all_lists:
+            own, spot = own[:, lists], spot[:, lists]
+        seen = np.where(better, spot >= n - read, spot < read)
+        known = (own * seen) @ weight
+        seen = seen.astype(float)
+        last = weight * np.where(better, values[n - read, lists], values[read - 1, lists])
+        low = known + worst.sum() - seen @ worst
+        high = known + last.sum() - seen @ last
         low[alive == skip] = -np.inf
         if len(alive) > p.k:
             mark = np.partition(low, len(low) - p.k)[len(low) - p.k]
             alive = alive[high >= mark]
-        read, size = upto, size * 2
     return alive[alive != skip]
 
 
@@ -68,11 +78,10 @@ def _search(p: SortedLists):
             asked = matrix(queries.column("ints"), len(queries.column("ints")[0]), np.int64)
             rows = matrix(index.column("ints"), asked.shape[1], np.int64)
             ids = index.column("vec_id").to_numpy()
-            order = rows.argsort(0, kind="stable")
-            values = np.take_along_axis(rows, order, 0)
-            place = {int(v): i for i, v in enumerate(ids)}
+            values, place = lists_of(rows)
+            real, own = rows.astype(float), {int(v): i for i, v in enumerate(ids)}
             for name, query in zip(queries.column("vec_id").to_numpy(), asked, strict=True):
-                some = nra(values, order, query, place.get(int(name), -1), p)
+                some = nra(real, values, place, query, own.get(int(name), -1), p)
                 score = rows[some] @ query
                 top = np.lexsort((ids[some], -score))[: p.k]
                 out.append((np.full(len(top), name), ids[some][top], score[top]))
