@@ -46,8 +46,8 @@ class Toxicity:
     weights. counterfactual: weight of the squared score change under a swap.
     """
 
-    sample: int = 12_000
-    vocabulary: int = 2_000
+    sample: int = 8_000
+    vocabulary: int = 1_000
     least: int = 8
     ridge: float = 1e-4
     counterfactual: float = 1.0
@@ -160,11 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity | None = None) -> Model:
     groups = [_hash_words(g).view(np.int64) for g in IDENTITY]
     vocab = np.unique(np.concatenate([chosen, *groups]).view(U))
     spark = docs.sparkSession
-    known = spark.createDataFrame([(int(x),) for x in vocab.view(np.int64)], "word long")
-    rows = pairs.join(F.broadcast(known), "word").select("doc_id", "word").toPandas()
+    known = spark.createDataFrame([(int(x), i) for i, x in enumerate(vocab.view(np.int64))], "word long, number int")
+    rows = pairs.join(F.broadcast(known), "word").select("doc_id", "number").toPandas()
     texts = pairs.select("doc_id", "label").distinct().orderBy("doc_id").toPandas()
-    at = np.searchsorted(texts["doc_id"].to_numpy(), rows["doc_id"].to_numpy())
-    place = np.searchsorted(vocab, rows["word"].to_numpy(np.int64).view(U))
+    at = np.searchsorted(texts["doc_id"].to_numpy(), rows["doc_id"].to_numpy()).astype(np.int32)
+    place = rows["number"].to_numpy(np.int32)
+    del rows
     w, base = train(at, place, texts["label"].to_numpy(float), len(vocab), [np.searchsorted(vocab, g.view(U)) for g in groups], p)
     return Model(vocab, w, base)
 
