@@ -52,14 +52,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return save(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots), "components")
 
 
-def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None) -> DataFrame:
+def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, once: bool = True) -> DataFrame:
     """buckets (key, id, *payload) -> (id, component) over all verified links between ids that share a key.
 
     First each bucket's least id is paired with its other members; what verifies is joined up. Members of one component
     need no further test. Then, in buckets that still hold several components, all pairs across components that pass
     the cheap test `near` on payloads are tried, so no link is lost and groups of copies never expand into all pairs.
     `verify` takes distinct (a, b) with a < b and returns those that are linked. `refine` may give those few ids a finer
-    payload (id, ...) and a test on it, so that hardly any pair that is not linked is put forward.
+    payload (id, ...) and a test on it, so that hardly any pair that is not linked is put forward. `once` puts each pair forward in one bucket only, at the cost of an id's keys in
+    each of its rows; without it a pair comes from each bucket that has both, before it is made distinct.
     """
     least = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
     kept = save(buckets.join(least, "key"), "buckets")
@@ -78,9 +79,10 @@ def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify
         finer, nearer = refine(part.select("id").distinct())
         part = part.join(finer, "id")
         close = close & nearer(x_of, y_of)
-    part = part.join(part.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
-    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")  # a pair is put forward in one of its buckets only
-    rest = part.alias("x").join(part.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & close & once)
+    if once:
+        part = part.join(part.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
+        close = close & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
+    rest = part.alias("x").join(part.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & close)
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     rest = save(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = verify(rest)

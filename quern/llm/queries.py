@@ -20,7 +20,7 @@ def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), lines.EXACT)
     return out.select("doc_id", F.size("removed_lines").alias("n_removed"), "removed_lines", "removed_for", F.length("text").alias("kept_chars"), F.xxhash64("text").alias("kept_hash"))
 
 
