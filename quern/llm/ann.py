@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import save
@@ -105,7 +105,7 @@ def _encoded(books: np.ndarray, beam: int):
 
 
 def _scored(books: np.ndarray, candidates: int):
-    """Lookup-table scores of a block's codes for each query: its squared distance from the approximation, less its own norm."""
+    """Lookup-table scores of a block's codes for each query: its squared distance from the approximation, less its own norm. Ties at the cut go to the smaller vec_id."""
 
     def run(queries: pa.Table, index: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "near": pa.array([], pa.float32())})
@@ -119,16 +119,23 @@ def _scored(books: np.ndarray, candidates: int):
         out = []
         for query, lookup in zip(queries.column("vec_id").to_numpy(), tables, strict=True):
             score = norm - 2 * lookup[place].sum(1)
-            score[ids == query] = np.inf
             keep = min(candidates, len(score))
-            top = np.argpartition(score, keep - 1)[:keep]
-            top = top[np.isfinite(score[top])]
+            last = np.partition(score, keep - 1)[keep - 1]
+            top, tied = np.flatnonzero(score < last), np.flatnonzero(score == last)
+            top = np.concatenate([top, tied[np.argsort(ids[tied])[: keep - len(top)]]])
             out.append((np.full(len(top), query), ids[top], score[top]))
         return pa.table(dict(zip(("query_id", "vec_id", "near"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
     return run
 
 
+def distinct(data: DataFrame, k: int) -> DataFrame:
+    """(vec_id, embedding, ids) of each different vector: its least vec_id, and its k least in order. No more of a vector's rows are ever gathered."""
+    order = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    least = data.withColumn("n", order).where(F.col("n") <= k)
+    return save(least.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("vec_id"), "embedding", "ids"), "distinct")
+
+
 def distance(a: str, b: str) -> Column:
     """Euclidean distance of two columns of doubles, summed in order."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
@@ -149,10 +156,11 @@ def nearest(vectors: DataFrame, queries: Column, p: Additive | None = None) -> D
     if not len(sample):
         return data.sparkSession.createDataFrame([], schema)
     books = train(np.stack(sample["embedding"].to_numpy()).astype(np.float32), p)
-    index = save(data.mapInArrow(_encoded(books, p.beam), "vec_id long, codes binary, norm float"), "codes")
+    reps = distinct(data, p.k + 1)  # one more, as a query's own row may be among them
+    index = save(reps.select("vec_id", "embedding").mapInArrow(_encoded(books, p.beam), "vec_id long, codes binary, norm float"), "codes")
     asked = data.where(queries)
     found = in_blocks(index, asked, _scored(books, p.candidates), "query_id long, vec_id long, near float", p.index_rows, p.query_rows)
     found = save(best(found, p.candidates, "near", "vec_id").select("query_id", "vec_id"), "candidates")
-    pairs = found.join(data, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")), "query_id")
-    exact = pairs.select("query_id", "vec_id", distance("asked", "embedding").alias("score"))
+    pairs = found.join(reps, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")), "query_id")
+    exact = pairs.select("query_id", F.explode("ids").alias("vec_id"), distance("asked", "embedding").alias("score")).where("vec_id <> query_id")
     return best(exact, p.k, "score", "vec_id").select("query_id", "rank", "vec_id", "score")
