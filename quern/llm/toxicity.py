@@ -31,6 +31,27 @@ IDENTITY = [
     ["old", "young", "elderly", "teenage"],
     ["disabled", "blind", "deaf", "autistic"],
     ["american", "mexican", "chinese", "indian", "german", "french", "spanish", "russian", "turkish", "polish"],
+    # German
+    ["frauen", "männer", "mädchen", "jungen"],
+    ["schwule", "lesben", "bisexuelle", "heterosexuelle", "homosexuelle"],
+    ["schwarze", "weiße", "asiaten", "afrikaner", "europäer", "araber"],
+    ["christen", "muslime", "juden", "hindus", "buddhisten", "atheisten", "katholiken", "protestanten"],
+    ["einwanderer", "flüchtlinge", "ausländer", "migranten", "einheimische", "bürger"],
+    ["amerikaner", "chinesen", "inder", "deutsche", "franzosen", "spanier", "russen", "türken", "polen"],
+    # French
+    ["femmes", "hommes", "filles", "garçons"],
+    ["gays", "lesbiennes", "bisexuels", "hétérosexuels", "homosexuels"],
+    ["noirs", "blancs", "asiatiques", "africains", "européens", "arabes"],
+    ["chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées", "catholiques"],
+    ["immigrés", "réfugiés", "étrangers", "migrants", "citoyens"],
+    ["américains", "chinois", "indiens", "allemands", "français", "espagnols", "russes", "turcs", "polonais"],
+    # Spanish
+    ["mujeres", "hombres", "chicas", "chicos"],
+    ["lesbianas", "bisexuales", "heterosexuales", "homosexuales"],
+    ["negros", "blancos", "asiáticos", "africanos", "europeos", "árabes"],
+    ["cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos", "católicos"],
+    ["inmigrantes", "refugiados", "extranjeros", "migrantes", "ciudadanos"],
+    ["americanos", "chinos", "indios", "alemanes", "franceses", "españoles", "rusos", "turcos", "polacos"],
 ]
 
 
@@ -63,17 +84,20 @@ def word_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of each text as hashes: rows and hashes, a row's sorted.
 
     Features are lower-cased words (runs of letters and bytes beyond ASCII) and the words' beginnings of STEMS bytes, so
-    that an insult is known in its other forms.
+    that an insult is known in its other forms. Identity terms have no beginnings, so that a swap of one changes no feature
+    but the two words, which is what the penalty counts.
     """
     data, offsets = textkit.text_bytes(column)
     data = textkit.lower(data)
     starts, ends, rows = textkit.runs(_WORD_BYTE[data], offsets)
     sums = textkit.prefix(data)
     hashes = textkit.span_hash(sums, starts, ends)
+    stemmed = ~np.isin(hashes, _IDENTITY_HASHES)
     at = np.searchsorted(rows, np.arange(len(offsets)))
     sets = []
     for a, b in zip(at[:-1], at[1:], strict=True):
         own, first = np.unique(hashes[a:b], return_index=True)
+        first = first[stemmed[a:b][first]]
         start, size = starts[a:b][first], (ends[a:b] - starts[a:b])[first]
         for k in STEMS:
             long = start[size >= k]
@@ -87,6 +111,9 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return textkit.span_hash(textkit.prefix(data), at[:-1], at[1:])
 
 
+_IDENTITY_HASHES = np.unique(_hash_words(sorted({w for g in IDENTITY for w in g})))
+
+
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in textkit.slices(batch):
