@@ -34,6 +34,10 @@ RES_TYPES = ["anim", "animator", "color", "drawable", "font", "interpolator", "l
 WEBP_LOSSY_SDK, WEBP_FULL_SDK = 14, 18
 
 
+def _ascii(text: str) -> Column:
+    return F.unhex(F.lit(text.encode().hex()))
+
+
 def _is_one_of(values: list[str]):
     """A predicate on BINARY: one of these ASCII strings."""
     return lambda b: reduce(operator.or_, (b == F.unhex(F.lit(v.encode().hex())) for v in values))
@@ -154,9 +158,17 @@ def palette_size(quality: Column) -> Column:
 
 
 def header_pixels(header: Column) -> Column:
-    """Width times height of a PNG header, or null."""
-    number = lambda at: F.conv(F.hex(F.substring(header, at, 4)), 16, 10).cast("long")
-    return F.when((F.substring(header, 1, 8) == F.unhex(F.lit(MAGIC[1][0]))) & (F.octet_length(header) >= 24), number(17) * number(21))
+    """Width times height of a PNG or WebP header (of its first chunk: VP8X, lossless VP8L or lossy VP8), or null."""
+    size = F.octet_length(header)
+    big = lambda at: F.conv(F.hex(F.substring(header, at, 4)), 16, 10).cast("long")
+    little = lambda at, n: F.conv(F.concat(*[F.hex(F.substring(header, at + k, 1)) for k in reversed(range(n))]), 16, 10).cast("long")
+    is_png = (F.substring(header, 1, 8) == F.unhex(F.lit(MAGIC[1][0]))) & (size >= 24)
+    chunk = lambda name: (F.substring(header, 1, 4) == _ascii("RIFF")) & (F.substring(header, 9, 8) == _ascii("WEBP" + name))
+    packed = little(22, 4)
+    lossless = (packed.bitwiseAND(F.lit(0x3FFF)) + 1) * (F.shiftright(packed, 14).bitwiseAND(F.lit(0x3FFF)) + 1)
+    lossy = little(27, 2).bitwiseAND(F.lit(0x3FFF)) * little(29, 2).bitwiseAND(F.lit(0x3FFF))
+    out = F.when(is_png, big(17) * big(21)).when(chunk("VP8X") & (size >= 30), (little(25, 3) + 1) * (little(28, 3) + 1))
+    return out.when(chunk("VP8L") & (size >= 25) & (F.substring(header, 21, 1) == F.unhex(F.lit("2F"))), lossless).when(chunk("VP8 ") & (size >= 30) & (F.substring(header, 24, 3) == F.unhex(F.lit("9D012A"))), lossy)
 
 
 def safe_entry_name(name: Column) -> Column:
@@ -171,13 +183,7 @@ def is_archive_metadata(name: Column) -> Column:
 
 def blocks_rewrite(name: Column) -> Column:
     """Whether an entry's name says that the archive is signed or listed by digest."""
-    return F.lower(name).rlike(r"((^|/)(manifest\.json|pack-info\.json|sniff\.json)$)|(^|/)(meta-inf|_codesignature)/|\.(sig|signature)$")
-
-
-def size_text(size: Column) -> Column:
-    """Bytes in binary units; a dash for what is no size."""
-    unit = lambda k, n: F.concat(F.format_number(size / float(1024**n), 1 if n == 1 else 2), F.lit(f" {k}"))
-    return F.when(size.isNull() | (size < 0), "—").when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, unit("KiB", 1)).when(size < 1024**3, unit("MiB", 2)).otherwise(unit("GiB", 3))
+    return ascii_lower(name).rlike(r"(^|/)(manifest|pack-info|sniff)\.json$|^meta-inf/|_codesignature/|\.sig(nature)?$")
 
 
 def score_label(score: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Limits of an archive that is looked into.
-MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, PREVIEWS = 10_000, 64 << 20, 256 << 20, 32
+MAX_INPUT, MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, PREVIEWS = 64 << 20, 10_000, 64 << 20, 256 << 20, 32
 
 
 def totals(entries: DataFrame) -> DataFrame:
@@ -23,8 +23,15 @@ def largest_entries(entries: DataFrame, n: int = PREVIEWS) -> DataFrame:
 
 
 def prefix_conflicts(entries: DataFrame) -> DataFrame:
-    """(archive, name): files whose name is a folder of another entry. Each name gives its ancestors once; the join is on equality."""
-    parts = F.split("name", "/")
+    """(archive, name): files whose name is a folder of another entry, in any case. Each name gives its ancestors once; the join is on equality."""
+    parts = F.split(F.lower("name"), "/")
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    folders = entries.where(F.size(parts) > 1).select("archive", F.explode(above).alias("name")).distinct()
-    return entries.select("archive", "name").distinct().join(folders, ["archive", "name"], "left_semi")
+    folders = entries.where(F.size(parts) > 1).select("archive", F.explode(above).alias("folder")).distinct()
+    files = entries.where(~F.col("name").endswith("/")).select("archive", "name", F.lower("name").alias("folder")).distinct()
+    return files.join(folders, ["archive", "folder"], "left_semi").select("archive", "name")
+
+
+def entry_filter(entries: DataFrame, query: str = "", fmt: str | None = None) -> DataFrame:
+    """Entries (path, format, ...) whose path has the query in it, in any case, and that are of the format, if one is given."""
+    out = entries.where(F.lower("path").contains(query.strip().lower()))
+    return out.where(F.col("format") == fmt) if fmt else out

@@ -118,14 +118,68 @@ def batch_totals(items: DataFrame) -> DataFrame:
 
 
 def exclusion_reasons(resources: DataFrame, candidates: DataFrame, items: DataFrame, policy: BatchPolicy) -> DataFrame:
-    """For each eligible resource outside the plan, the candidate that misses the fewest switches, and their names."""
+    """resources outside the plan -> (resource, reasons): why.
+
+    `applied` if it already is; `unavailable` if nothing can be chosen: the file is gone, not analysed to the end or
+    excluded, or no candidate is valid or a warning. Else the switches that its candidate of fewest misses, in order
+    lossy or lossless, cross_format, warnings, score; `unavailable` again where the policy would allow it (a lock).
+    """
+    accepted = list(policy.accept_warnings)
+    refused = F.exists("warnings", lambda w: ~w.isin(*accepted)) if accepted else F.size("warnings") > 0
+    floor = F.lit(False) if policy.min_score is None else F.col("lossy") & ~F.coalesce(F.col("score") >= policy.min_score, F.lit(False))
     missed = [
-        F.when(~F.col("artifact"), "no_artifact"), F.when(~F.col("valid") & F.col("artifact"), "warnings"),
-        F.when(F.col("lossy") & F.lit(not policy.lossy), "lossy"), F.when(~F.col("lossy") & F.lit(not policy.lossless), "lossless"),
+        F.when(F.col("lossy") & F.lit(not policy.lossy), "lossy").when(~F.col("lossy") & F.lit(not policy.lossless), "lossless"),
         F.when(crossing() & F.lit(not policy.cross_format), "cross_format"),
+        F.when(is_warning() & refused, "warnings"),
+        F.when(floor, "score"),
     ]
-    out = _joined(resources, candidates).join(items.select("resource"), "resource", "left_anti").withColumn("reasons", F.array_compact(F.array(*missed)))
-    return out.groupBy("resource").agg(F.min(F.struct(F.size("reasons").alias("n"), "candidate", "reasons")).alias("k")).select("resource", F.col("k.candidate").alias("candidate"), F.array_join("k.reasons", ",").alias("reasons"))
+    left = resources.join(items.select("resource"), "resource", "left_anti")
+    open_ = ~F.col("missing") & (F.col("status") == "candidates_available") & F.col("exclusion").isNull() & (F.col("state") != "applied")
+    res = left.where(open_).select("resource", F.col("format").alias("resource_format"), "extension_mismatch")
+    offers = candidates.where(F.col("artifact") & (F.col("valid") | is_warning())).join(res, "resource").withColumn("reasons", F.array_compact(F.array(*missed)))
+    best = offers.groupBy("resource").agg(F.min(F.struct(F.size("reasons").alias("n"), "candidate", "reasons")).alias("k"))
+    told = F.array_join("k.reasons", ",")
+    out = left.select("resource", "state", "missing").join(best, "resource", "left")
+    applied = ~F.col("missing") & (F.col("state") == "applied")
+    return out.select("resource", F.when(applied, "applied").when(told != "", told).otherwise("unavailable").alias("reasons"))
+
+
+def recommended(candidates: DataFrame) -> DataFrame:
+    """(resource, candidate, savings_bytes): the smallest valid candidate of each resource that has one, and what it saves."""
+    key = F.when(F.col("valid") & F.col("artifact"), F.struct("bytes", "candidate"))
+    best = candidates.groupBy("resource").agg(F.min_by(F.struct("candidate", "savings_bytes"), key).alias("c"), F.min(key).alias("k")).where("k is not null")
+    return best.select("resource", "c.candidate", F.greatest("c.savings_bytes", F.lit(0)).alias("savings_bytes"))
+
+
+def preferred(resources: DataFrame, candidates: DataFrame, warnings_view: bool = False) -> DataFrame:
+    """resources (resource, state, applied_candidate) -> (resource, candidate): the one to show first.
+
+    The applied one; in the warnings view the smallest warning (ties to the lower index); the smallest valid; the first warning; the first.
+    """
+    by_size = F.struct("bytes", "candidate")
+    ok, warned = F.col("valid") & F.col("artifact"), is_warning()
+    picks = candidates.groupBy("resource").agg(F.min(F.when(ok, by_size)).alias("valid"), F.min(F.when(warned, by_size)).alias("warned"), F.min(F.when(warned, F.col("candidate"))).alias("first_warned"), F.min("candidate").alias("first"))
+    view = [F.col("warned.candidate")] if warnings_view else []
+    applied = F.when(F.col("state") == "applied", F.col("applied_candidate"))
+    return resources.join(picks, "resource", "left").select("resource", F.coalesce(applied, *view, "valid.candidate", "first_warned", "first").alias("candidate"))
+
+
+def required_warnings() -> Column:
+    """All limits that a warning candidate misses; reports from before warnings were listed name the rejection only. Unknown names are left out."""
+    known = F.filter("warnings", lambda w: w.isin(WARNINGS))
+    return F.when(~is_warning(), F.array().cast("array<string>")).when(F.size(known) > 0, known).otherwise(F.array("rejection"))
+
+
+def batch_status(outcomes: DataFrame) -> DataFrame:
+    """outcomes (resource, outcome, savings_bytes) -> one row: applied, failed and cancelled items, and what the applied ones save."""
+    count = lambda name: F.count_if(F.col("outcome") == name).alias(name)
+    saved = F.coalesce(F.sum(F.when(F.col("outcome") == "applied", F.col("savings_bytes"))), F.lit(0).cast("long"))
+    return outcomes.agg(count("applied"), count("failed"), count("cancelled"), saved.alias("savings_bytes"))
+
+
+def selection(resources: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The resources of a selection (resource, ...), each once, and whether they are known."""
+    return wanted.select("resource").distinct().join(resources.select("resource", F.lit(True).alias("known")), "resource", "left").select("resource", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 def thresholds(rows: DataFrame, min_input: int, min_bytes: int, min_percent: float) -> DataFrame:

@@ -11,19 +11,33 @@ from pyspark.sql import functions as F
 # Fixed value: a printf token; a space after the sign is prose.
 TOKEN = r"%%|%(?:\d+\$)?[-+#0]*\d*(?:\.\d+)?(?:hh|h|ll|l|q|z|t|j|L)?[@diouxXeEfFgGaAcCsSp]"
 MAX_ISSUES, MAX_TEXT = 500, 160
+LANGUAGES = 10_000
 
 
-def arguments(value: Column) -> Column:
-    """Argument classes in order of position, as `1d` `2s`: integers are d, floats f, objects and strings s. Unnumbered ones count by occurrence."""
+def signature(value: Column) -> Column:
+    """Arguments (place, letter) in order of place. Unnumbered ones count by occurrence; an object counts as a string."""
     tokens = F.filter(F.regexp_extract_all(value, F.lit(f"({TOKEN})"), F.lit(1)), lambda t: t != "%%")
 
     def one(token: Column, i: Column) -> Column:
-        place = F.regexp_extract(token, r"^%(\d+)\$", 1)
-        letter = F.lower(F.right(token, F.lit(1)))
-        kind = F.when(letter.isin("d", "i", "u", "o", "x"), "d").when(letter.isin("f", "e", "g", "a"), "f").when(letter.isin("@", "s"), "s").otherwise(letter)
-        return F.struct(F.when(place != "", place.cast("int")).otherwise(i + 1).alias("place"), kind.alias("kind"))
+        place, letter = F.regexp_extract(token, r"^%(\d+)\$", 1), F.right(token, F.lit(1))
+        return F.struct(F.when(place != "", place.cast("int")).otherwise(i + 1).alias("place"), F.when(letter == "@", "s").otherwise(letter).alias("letter"))
+
+    return F.array_sort(F.transform(tokens, one))
+
+
+def arguments(value: Column) -> Column:
+    """Argument classes in order of position, as `1d` `2s`: whole numbers are d, broken ones f."""
+
+    def kind(letter: Column) -> Column:
+        low = F.lower(letter)
+        return F.when(low.isin("d", "i", "u", "o", "x"), "d").when(low.isin("f", "e", "g", "a"), "f").otherwise(low)
 
-    return F.transform(F.array_sort(F.transform(tokens, one)), lambda a: F.concat(a["place"].cast("string"), a["kind"]))
+    return F.transform(signature(value), lambda a: F.concat(a["place"].cast("string"), kind(a["letter"])))
+
+
+def display(value: Column) -> Column:
+    """Arguments as they are shown in issues: `%1$d`."""
+    return F.transform(signature(value), lambda a: F.concat(F.lit("%"), a["place"].cast("string"), F.lit("$"), a["letter"]))
 
 
 def argument_mismatch(expected: Column, found: Column) -> Column:
@@ -60,10 +74,12 @@ def checked_keys(entries: DataFrame, source: str) -> DataFrame:
 def cells(entries: DataFrame, source: str, key_is_text: bool = False) -> DataFrame:
     """One row for each language and checked key: outcome (translated, missing, empty), needs_review, issue kind, text.
 
-    The languages of a table are few and are broadcast only then; entries and source values join by key.
+    Languages are counted first and broadcast, as a corpus has some hundreds at most; with more than LANGUAGES of them
+    Spark chooses how to build the product. Entries and source values join by key.
     """
     keys, languages = checked_keys(entries, source), entries.select("language").distinct()
-    grid = keys.crossJoin(languages)  # the result itself has a row for each language and key
+    few = languages.limit(LANGUAGES + 1).count() <= LANGUAGES
+    grid = keys.crossJoin(F.broadcast(languages)) if few else keys.crossJoin(languages)  # the result itself has a row for each language and key
     own = entries.select("language", "key", "value_kind", "value", "status", F.lit(True).alias("here"))
     origin = entries.where((F.col("language") == source) & (F.col("value_kind") == "singular")).select("key", F.col("value").alias("original"))
     out = grid.join(own, ["language", "key"], "left").join(origin, "key", "left")
@@ -74,7 +90,7 @@ def cells(entries: DataFrame, source: str, key_is_text: bool = False) -> DataFra
     compare = (F.col("outcome") == "translated") & text & (F.col("language") != source) & F.col("original").isNotNull()
     issue = F.when(F.col("outcome") == "empty", "empty_value").when(compare, argument_mismatch(F.col("expected"), F.col("found")))
     review = (F.col("outcome") == "translated") & F.coalesce(F.col("status").isin("needs_review", "stale"), F.lit(False))
-    return out.select("language", "key", "outcome", review.alias("needs_review"), issue.alias("issue"), "expected", "found", "value")
+    return out.select("language", "key", "outcome", review.alias("needs_review"), issue.alias("issue"), "expected", "found", "value", "original")
 
 
 def coverage(entries: DataFrame, source: str, key_is_text: bool = False) -> DataFrame:
@@ -94,8 +110,20 @@ def extra_keys(entries: DataFrame, source: str) -> DataFrame:
     return entries.where(F.col("language") != source).select("language", "key").join(held, "key", "left_anti").join(barred, "key", "left_anti").select("language", "key")
 
 
-def issues(entries: DataFrame, source: str) -> DataFrame:
-    return cells(entries, source).where(F.col("issue").isNotNull()).select(F.col("issue").alias("kind"), "key", "language", F.array_join("expected", " ").alias("expected"), F.array_join("found", " ").alias("found"), shortened(F.coalesce("value", F.lit(""))).alias("text"))
+def issues(entries: DataFrame, source: str, key_is_text: bool = False) -> DataFrame:
+    """(kind, key, language, expected, found, text): mismatches show both sides' arguments, empty values neither."""
+    wrong = F.col("issue") != "empty_value"
+    shown = lambda c: F.when(wrong, F.array_join(display(F.col(c)), " ")).otherwise("").alias(c)
+    rows = cells(entries, source, key_is_text).where(F.col("issue").isNotNull()).select(F.col("issue"), "key", "language", F.col("original").alias("expected"), F.col("value").alias("found"), "value")
+    return rows.select(F.col("issue").alias("kind"), "key", "language", shown("expected"), shown("found"), shortened(F.coalesce("value", F.lit(""))).alias("text"))
+
+
+def issue_filter(rows: DataFrame, query: str = "", kind: str | None = None) -> DataFrame:
+    """Issues of a kind, if one is given, that have all words of the query in key, language, text, expected or found, in any case."""
+    from quern.operators.report import all_words
+
+    rows = rows.where(F.col("kind") == kind) if kind else rows
+    return rows.where(all_words(F.concat_ws(" ", "key", "language", "text", "expected", "found"), query))
 
 
 def stale_keys(entries: DataFrame, source: str) -> DataFrame:
@@ -124,3 +152,87 @@ def non_locale_qualifiers(directory: Column) -> Column:
         return F.struct((s["seen"] | language | tag).alias("seen"), language.alias("region"), kept.alias("kept"))
 
     return F.array_join(F.aggregate(tokens, start, step, lambda s: s["kept"]), "-")
+
+
+def identity(path: Column, fmt: Column, language: Column) -> Column:
+    """Struct (format, table, group, language) of a localization file; files of one group are the languages of a table.
+
+    A string catalog is a group of its own and holds its languages itself. String tables of an .lproj folder go together by
+    bundle and file name, others stand alone; Android values by resource folder, other qualifiers and file name.
+    """
+    name, folder = F.regexp_extract(path, "([^/]*)$", 1), F.regexp_extract(path, "(?:^|/)([^/]*)/[^/]*$", 1)
+    above = F.regexp_extract(path, "^(.*)/[^/]*/[^/]*$", 1)
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    none = F.lit(None).cast("string")
+    join = lambda *parts: F.concat_ws("\0", *parts)
+    make = lambda f, table, group, lang: F.struct(f.alias("format"), table.alias("table"), group.alias("group"), lang.alias("language"))
+    project = F.regexp_extract(folder, r"^(.+)\.lproj$", 1)
+    apple = F.when(project != "", make(fmt, stem, join(fmt, above, name), project)).otherwise(make(fmt, stem, join(fmt, path), none))
+    android = make(F.lit("android_strings"), name, join(F.lit("android"), above, non_locale_qualifiers(folder), name), language)
+    return F.when(fmt == "xcstrings", make(fmt, stem, join(fmt, path), none)).when(fmt.isin("strings", "stringsdict"), apple).otherwise(android)
+
+
+def tables(entries: DataFrame) -> DataFrame:
+    """Entries of files (path, format, language, declared, key, ...) as read from disk -> the same with group, table and label.
+
+    label is the language that an entry counts for: an entry's own in a catalog, else its file's, with the folder where
+    two files of a table claim one language. A file that gave an error has no entry here.
+    """
+    fmt = F.when(F.col("format") == "android", "xml").otherwise(F.col("format"))
+    rows = entries.where("error is null").withColumn("i", identity(F.col("path"), fmt, F.col("language")))
+    rows = rows.withColumn("group", F.col("i.group")).withColumn("table", F.col("i.table")).withColumn("file_language", F.col("i.language")).drop("i")
+    files = rows.where("file_language is not null").select("group", "path", "file_language").distinct()
+    claims = files.groupBy("group", "file_language").agg(F.count("*").alias("claims"))
+    folder = F.regexp_extract("path", "(?:^|/)([^/]*)/[^/]*$", 1)
+    shared = F.when(F.col("claims") > 1, F.concat("file_language", F.lit(" ("), folder, F.lit(")"))).otherwise(F.col("file_language"))
+    rows = rows.join(claims, ["group", "file_language"], "left")
+    return rows.withColumn("label", F.coalesce(shared, "language")).drop("claims", "file_language")
+
+
+def table_sources(rows: DataFrame) -> DataFrame:
+    """tables() -> (group, source): the declared source language of a catalog, else Base, default or en if there, else the label of most entries, ties to the smaller name."""
+    counts = rows.groupBy("group", "label").agg(F.count("*").alias("n"), F.max(F.when(F.col("declared") != "", F.col("declared"))).alias("declared"))
+    first = F.when(F.col("label") == "Base", 1).when(F.col("label") == "default", 2).when(F.col("label") == "en", 3).otherwise(4)
+    best = F.min_by("label", F.struct(first.alias("p"), F.when(first == 4, -F.col("n")).otherwise(0).alias("n"), "label"))
+    return counts.groupBy("group").agg(F.coalesce(F.max("declared"), best).alias("source"))
+
+
+def table_cells(rows: DataFrame) -> DataFrame:
+    """tables() of any number of groups -> (group, table, language, key, outcome, needs_review, issue, original, value): cells() for every table at once, in equi-joins on group and key."""
+    last = rows.groupBy("group", "label", "key").agg(F.max_by(F.struct("value_kind", "value", "status", "stale", "translatable"), "seq").alias("e")).select("group", F.col("label").alias("language"), "key", "e.*")
+    source = table_sources(rows)
+    names = rows.groupBy("group").agg(F.first("table").alias("table"), F.bool_or(F.col("format") == "xcstrings").alias("key_is_text"))
+    head = source.join(names, "group")
+    told = last.join(head, "group")
+    barred = last.where(~F.col("translatable")).select("group", "key").distinct()
+    held = told.where("language = source").select("group", "key").distinct()
+    with_source = held.select("group").distinct().withColumn("has_source", F.lit(True))
+    keys = last.select("group", "key").distinct().join(barred, ["group", "key"], "left_anti").join(held.withColumn("in_source", F.lit(True)), ["group", "key"], "left").join(with_source, "group", "left")
+    keys = keys.where("has_source is null or in_source").select("group", "key")
+    labels = last.select("group", "language").distinct()
+    grid = keys.join(labels, "group").join(head, "group")
+    original = told.where("language = source and value_kind = 'singular'").select("group", "key", F.col("value").alias("original"))
+    out = grid.join(last.withColumn("here", F.lit(True)), ["group", "language", "key"], "left").join(original, ["group", "key"], "left")
+    text = F.col("value_kind") == "singular"
+    outcome = F.when(F.col("here").isNull(), "missing").when(text & (F.col("value") == ""), "empty").when(text | (F.col("value_kind") == "plural"), "translated")
+    outcome = outcome.when(F.col("key_is_text") & (F.col("language") == F.col("source")), "translated").otherwise("missing")
+    out = out.withColumn("outcome", outcome)
+    compare = (F.col("outcome") == "translated") & text & (F.col("language") != F.col("source")) & F.col("original").isNotNull()
+    issue = F.when(F.col("outcome") == "empty", "empty_value").when(compare, argument_mismatch(arguments(F.col("original")), arguments(F.col("value"))))
+    review = (F.col("outcome") == "translated") & F.coalesce(F.col("status").isin("needs_review", "stale"), F.lit(False))
+    return out.select("group", "table", "source", "language", "key", "outcome", review.alias("needs_review"), issue.alias("issue"), "original", "value")
+
+
+def table_coverage(rows: DataFrame) -> DataFrame:
+    """tables() -> (group, table, source, language, keys, translated, missing, empty, needs_review, extra, issues, share): a row for each table and language, the source first by source_first."""
+    found = table_cells(rows)
+    count = lambda cond, name: F.count_if(cond).alias(name)
+    done = found.groupBy("group", "table", "source", "language").agg(F.count("*").alias("keys"), *[count(F.col("outcome") == o, o) for o in ("translated", "missing", "empty")], count(F.col("needs_review"), "needs_review"), count(F.col("issue").isNotNull(), "issues"))
+    last = rows.select("group", F.col("label").alias("language"), "key", "translatable").distinct()
+    source = table_sources(rows)
+    barred = last.where(~F.col("translatable")).select("group", "key").distinct()
+    held = last.join(source, "group").where("language = source").select("group", "key").distinct()
+    extra = last.select("group", "language", "key").distinct().join(held.select("group").distinct(), "group", "left_semi").join(held, ["group", "key"], "left_anti").join(barred, ["group", "key"], "left_anti")
+    extra = extra.groupBy("group", "language").agg(F.count("*").alias("extra"))
+    out = done.join(extra, ["group", "language"], "left").withColumn("extra", F.coalesce("extra", F.lit(0).cast("long")))
+    return out.withColumn("share", F.when(F.col("keys") > 0, F.least(F.col("translated") / F.col("keys"), F.lit(1.0))))

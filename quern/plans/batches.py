@@ -42,9 +42,20 @@ def batch_plan_token(spark, sf_dir):
 
 
 def batch_status(spark, sf_dir):
-    """Outcome of a batch: items of every ninth resource fail."""
-    items = c.batch_items(resources(spark, sf_dir), _judged(spark, sf_dir), POLICY).withColumn("failed", F.col("resource") % 9 == 0)
-    return items.agg(F.count_if(~F.col("failed")).alias("applied"), F.count_if("failed").alias("failed"), F.coalesce(F.sum(F.when(~F.col("failed"), F.col("savings_bytes"))), F.lit(0)).alias("savings_bytes"))
+    """Outcome of a batch: items of every ninth resource fail, of every tenth are cancelled."""
+    items = c.batch_items(resources(spark, sf_dir), _judged(spark, sf_dir), POLICY)
+    outcome = F.when(F.col("resource") % 9 == 0, "failed").when(F.col("resource") % 10 == 0, "cancelled").otherwise("applied")
+    return c.batch_status(items.withColumn("outcome", outcome))
+
+
+def recommended_savings(spark, sf_dir):
+    return c.recommended(_judged(spark, sf_dir))
+
+
+def preferred_candidates(spark, sf_dir):
+    """The candidate to show first, in the warnings view; the third is the applied one."""
+    res = resources(spark, sf_dir).select("resource", "state", F.lit(3).alias("applied_candidate"))
+    return c.preferred(res, _judged(spark, sf_dir), warnings_view=True)
 
 
 def legacy_plan_thresholds(spark, sf_dir):
@@ -71,7 +82,7 @@ def skip_dominated_trials(spark, sf_dir):
     return c.skip_dominated(i)
 
 
-QUERIES = {f.__name__: f for f in (candidate_verdicts, smallest_candidate, batch_plan_items, batch_plan_totals, batch_exclusion_reasons, batch_plan_token, batch_status, legacy_plan_thresholds, legacy_plan_savings, trial_matrix, skip_dominated_trials)}
+QUERIES = {f.__name__: f for f in (candidate_verdicts, smallest_candidate, batch_plan_items, batch_plan_totals, batch_exclusion_reasons, batch_plan_token, batch_status, recommended_savings, preferred_candidates, legacy_plan_thresholds, legacy_plan_savings, trial_matrix, skip_dominated_trials)}
 
 _BASE = "WITH" + RESOURCES_SQL + "," + CANDIDATES_SQL
 _WARN = "NOT valid AND lossy AND artifact AND rejection IN ('alpha_error_exceeds_policy', 'transparency_presence_changed', 'quality_below_policy')"
@@ -82,11 +93,13 @@ _ITEMS = _JOINED + """,
 items AS (SELECT resource, candidate, format, lossy, CASE WHEN is_warning THEN rejection END AS warning, original_bytes, savings_bytes, crossing FROM j
   WHERE artifact AND (valid OR (is_warning AND len(list_filter(warnings, lambda w: w <> 'quality_below_policy')) = 0)) AND NOT (crossing AND (format_lock IS NOT NULL OR coalesce(area = 'assets', false)))
     AND (NOT lossy OR coalesce(score >= 20, false)) QUALIFY row_number() OVER (PARTITION BY resource ORDER BY bytes, candidate) = 1)"""
-_STRICT = _JOINED + """,
+_STRICT = _JOINED + f""",
 items AS (SELECT DISTINCT resource FROM j WHERE artifact AND valid AND NOT lossy AND NOT crossing),
-why AS (SELECT resource, candidate, list_filter([CASE WHEN NOT artifact THEN 'no_artifact' END, CASE WHEN NOT valid AND artifact THEN 'warnings' END, CASE WHEN lossy THEN 'lossy' END, CASE WHEN crossing THEN 'cross_format' END], lambda x: x IS NOT NULL) AS rs
-  FROM j WHERE resource NOT IN (SELECT resource FROM items))
-SELECT resource, candidate, array_to_string(rs, ',') AS reasons FROM why QUALIFY row_number() OVER (PARTITION BY resource ORDER BY len(rs), candidate, rs) = 1"""
+why AS (SELECT c.resource, c.candidate, list_filter([CASE WHEN lossy THEN 'lossy' END, CASE WHEN c.format <> r.format OR r.extension_mismatch THEN 'cross_format' END, CASE WHEN {_WARN} THEN 'warnings' END], lambda x: x IS NOT NULL) AS rs
+  FROM cand c JOIN res r USING (resource) WHERE artifact AND (valid OR coalesce({_WARN}, false)) AND NOT missing AND r.status = 'candidates_available' AND exclusion IS NULL AND state <> 'applied'),
+best AS (SELECT resource, array_to_string(rs, ',') AS told FROM why QUALIFY row_number() OVER (PARTITION BY resource ORDER BY len(rs), candidate, rs) = 1)
+SELECT resource, CASE WHEN NOT missing AND state = 'applied' THEN 'applied' WHEN coalesce(told, '') <> '' THEN told ELSE 'unavailable' END AS reasons
+FROM res LEFT JOIN best USING (resource) WHERE resource NOT IN (SELECT resource FROM items)"""
 _PLAN = """WITH t AS (SELECT l_orderkey || '/' || l_linenumber AS path, floor(l_extendedprice)::BIGINT AS bytes, floor(l_extendedprice * (1 - l_discount))::BIGINT AS new_bytes FROM lineitem),
 s AS (SELECT *, greatest(bytes - new_bytes, 0) AS savings FROM t),
 p AS (SELECT *, CASE WHEN bytes < 20000 THEN 'input_too_small' WHEN new_bytes >= bytes THEN 'not_smaller' WHEN savings < 1024 OR savings * 100.0::DOUBLE / bytes < 4 THEN 'savings_too_small' END AS reason FROM s)
@@ -100,7 +113,11 @@ ORACLE_SQL = {
     "batch_exclusion_reasons": _BASE + _STRICT,
     "batch_plan_token": _BASE + _ITEMS + f""", part AS (SELECT resource // 10000 AS part, sha256('[' || string_agg('{{"resource":' || resource || ',"candidate":' || candidate || '}}', ',' ORDER BY resource, candidate) || ']') AS h FROM items GROUP BY 1)
       SELECT sha256('{repr(POLICY).replace("'", "''")}' || string_agg(h, '' ORDER BY part)) AS token FROM part""",
-    "batch_status": _BASE + _ITEMS + " SELECT count(*) FILTER (resource % 9 <> 0)::BIGINT AS applied, count(*) FILTER (resource % 9 = 0)::BIGINT AS failed, coalesce(sum(savings_bytes) FILTER (resource % 9 <> 0), 0)::BIGINT AS savings_bytes FROM items",
+    "batch_status": _BASE + _ITEMS + """, o AS (SELECT *, CASE WHEN resource % 9 = 0 THEN 'failed' WHEN resource % 10 = 0 THEN 'cancelled' ELSE 'applied' END AS o FROM items)
+      SELECT count(*) FILTER (o = 'applied')::BIGINT AS applied, count(*) FILTER (o = 'failed')::BIGINT AS failed, count(*) FILTER (o = 'cancelled')::BIGINT AS cancelled, coalesce(sum(savings_bytes) FILTER (o = 'applied'), 0)::BIGINT AS savings_bytes FROM o""",
+    "recommended_savings": _BASE + " SELECT resource, candidate, savings_bytes FROM cand WHERE valid QUALIFY row_number() OVER (PARTITION BY resource ORDER BY bytes, candidate) = 1",
+    "preferred_candidates": _BASE + f""", m AS (SELECT *, coalesce({_WARN}, false) AS w FROM cand), g AS (SELECT resource, arg_min(candidate, (bytes, candidate)) FILTER (w) AS sw, arg_min(candidate, (bytes, candidate)) FILTER (valid) AS v, min(candidate) FILTER (w) AS fw, min(candidate) AS f FROM m GROUP BY 1)
+      SELECT resource, CASE WHEN state = 'applied' THEN 3 ELSE coalesce(sw, v, fw, f) END::INTEGER AS candidate FROM res LEFT JOIN g USING (resource)""",
     "legacy_plan_thresholds": _PLAN + "SELECT * FROM p",
     "legacy_plan_savings": _PLAN + "SELECT reason, count(*)::BIGINT AS n, sum(savings)::BIGINT AS savings FROM p GROUP BY 1",
     "trial_matrix": """WITH p AS (SELECT p_partkey AS resource, p_size % 9 = 0 AS locked, p_size % 2 = 0 AS alpha, p_size % 5 = 0 AS catalog, p_size % 3 = 0 AS android, CASE WHEN p_size % 4 <> 0 THEN p_size % 25 END AS sdk FROM part),

@@ -53,10 +53,45 @@ def group_score_range(spark, sf_dir):
     return similarity.rank_groups(g)
 
 
+def _measured(spark, sf_dir):
+    """Sizes and hashes of vectors, made of ids."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    return e.select("id", (100 + F.col("id") % 7).alias("bytes"), F.when(F.col("id") % 2 == 0, "x").otherwise(F.col("id").cast("string")).alias("sha256"), (F.col("id") % 3).alias("width"), F.lit(1).alias("height"))
+
+
 def similar_groups_without_missing(spark, sf_dir):
-    """Groups after every fifth id vanished: members left; groups of one go."""
-    left = _groups(spark, sf_dir).where(F.col("id") % 5 != 0)
-    return left.groupBy("reference").agg(F.count("*").alias("members"), F.bool_or(F.col("id") == F.col("reference")).alias("has_reference")).where("members > 1")
+    """Groups after every fifth id vanished: what is left, judged anew; groups of one go."""
+    m = _measured(spark, sf_dir)
+    return similarity.without_missing(_groups(spark, sf_dir), m, m.where("id % 5 = 0").select("id"))
+
+
+def ordered_groups(spark, sf_dir):
+    g = similarity.ordered_groups(_groups(spark, sf_dir), _measured(spark, sf_dir))
+    return g.select("reference", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "redundant_bytes")
+
+
+def _images(spark, sf_dir):
+    """parts as images of 2 x 2 cells, so that each rule of likeness decides somewhere: colours, aspect, brightness, opacity, one cell, frames and variants."""
+    p = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    luma = F.array(*[(0.5 + (k * m % 5) * w).cast("double") for m, w in ((3, 0.01), (7, 0.012), (11, 0.008), (13, 0.05))])
+    alpha = F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0), (1 - (k % 3) * 0.07).cast("double"))
+    return p.select(
+        k.alias("id"), (1000 + k % 13).alias("bytes"), F.floor(k / 2).cast("string").alias("variant"), F.when(k % 29 == 0, 2).otherwise(1).alias("frames"), (100 + k % 7).cast("int").alias("width"), F.lit(100).alias("height"), luma.alias("luma"), alpha.alias("alpha"),
+        (k % 50 * 5).cast("int").alias("red"), (k % 9 * 4).cast("int").alias("green"), F.lit(7).alias("blue"), (k % 17 != 0).alias("detailed"), F.when(k % 31 == 0, "same").otherwise(F.concat(F.lit("h"), k.cast("string"))).alias("sha256"),
+    )
+
+
+def similar_images(spark, sf_dir):
+    return similarity.similar_images(_images(spark, sf_dir))
+
+
+def image_comparisons(spark, sf_dir):
+    """Each image against the first of its hundred."""
+    e = _images(spark, sf_dir)
+    g = e.select("id", F.greatest(F.floor(F.col("id") / 100) * 100, F.lit(1)).cast("long").alias("reference"))
+    c = similarity.comparisons(g, e)
+    return c.select("reference", "id", "identical", *[F.round(x, 6).alias(x) for x in ("brightness", "opacity", "color", "peak", "score")])
 
 
 def group_kinds(spark, sf_dir):
@@ -126,7 +161,7 @@ def poster_argmax(spark, sf_dir):
     return sequence.poster(e, "user_id", "event_id", "sprites", "ink")
 
 
-QUERIES = {f.__name__: f for f in (identical_groups, identical_pairs, similar_pairs, similar_groups, group_score_range, similar_groups_without_missing, group_kinds, fingerprint_grid, vector_difference, color_histogram, reuse_keys, reuse_totals, cache_prune, dedup_exclusion_wins, phase_seconds, carry_forward, run_groups, poster_argmax)}
+QUERIES = {f.__name__: f for f in (identical_groups, identical_pairs, similar_pairs, similar_groups, group_score_range, similar_groups_without_missing, ordered_groups, similar_images, image_comparisons, group_kinds, fingerprint_grid, vector_difference, color_histogram, reuse_keys, reuse_totals, cache_prune, dedup_exclusion_wins, phase_seconds, carry_forward, run_groups, poster_argmax)}
 
 _DIFF = "list_sum(list_transform(range(1, 65), lambda i: abs(x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE))) / 64"
 _PAIRS = f"""p AS (SELECT x.vec_id AS a, y.vec_id AS b, {_DIFF} AS d FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE {_DIFF} <= {LIMIT})"""
@@ -139,16 +174,30 @@ refs AS (SELECT unnest(refs) AS id FROM (SELECT refs FROM w ORDER BY k DESC LIMI
 m AS (SELECT b AS id, min(a) AS reference FROM p WHERE a IN (SELECT id FROM refs) AND b NOT IN (SELECT id FROM refs) GROUP BY 1),
 g AS (SELECT id, reference FROM m UNION SELECT reference, reference FROM m)
 """
+_IMAGES = """WITH i AS (SELECT p_partkey AS id, 1000 + p_partkey % 13 AS bytes, p_partkey // 2 AS variant, CASE WHEN p_partkey % 29 = 0 THEN 2 ELSE 1 END AS frames, (100 + p_partkey % 7) / 100.0::DOUBLE AS aspect,
+  0.5::DOUBLE + (p_partkey * 3 % 5) * 0.01::DOUBLE AS l1, 0.5::DOUBLE + (p_partkey * 7 % 5) * 0.012::DOUBLE AS l2, 0.5::DOUBLE + (p_partkey * 11 % 5) * 0.008::DOUBLE AS l3, 0.5::DOUBLE + (p_partkey * 13 % 5) * 0.05::DOUBLE AS l4, 1 - (p_partkey % 3) * 0.07::DOUBLE AS a4,
+  p_partkey % 50 * 5 AS red, p_partkey % 9 * 4 AS green, p_partkey % 17 <> 0 AS detailed, CASE WHEN p_partkey % 31 = 0 THEN 'same' ELSE 'h' || p_partkey END AS sha FROM part)
+"""
+_GAPS = "(abs(x.l1 - y.l1) + abs(x.l2 - y.l2) + abs(x.l3 - y.l3) + abs(x.l4 - y.l4)) / 4 {0} AND abs(x.a4 - y.a4) / 4 {1} AND greatest(abs(x.l1 - y.l1), abs(x.l2 - y.l2), abs(x.l3 - y.l3), abs(x.l4 - y.l4), abs(x.a4 - y.a4)) {2}"
 _SHA = "sha256(text)"
 ORACLE_SQL = {
     "identical_groups": f"SELECT arg_min(doc_id, (-n_chars, doc_id)) AS reference, count(*)::BIGINT AS members, (sum(n_chars) - max(n_chars))::BIGINT AS redundant_bytes FROM documents GROUP BY {_SHA} HAVING count(*) > 1",
-    "identical_pairs": "SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON x.text = y.text AND (x.n_chars > y.n_chars OR (x.n_chars = y.n_chars AND x.doc_id < y.doc_id)) WHERE x.doc_id <> y.doc_id",
+    "identical_pairs": "WITH f AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id) AS a FROM documents WHERE text IS NOT NULL) SELECT a, doc_id AS b FROM f WHERE a <> doc_id",
     "similar_pairs": f"WITH {_PAIRS} SELECT a, b, round(d, 6) AS difference FROM p",
     "similar_groups": _GROUPS + "SELECT * FROM g",
     "group_score_range": _GROUPS + f""", s AS (SELECT g.id, reference, least(greatest(100 * (1 - {_DIFF}), 0), 99.9::DOUBLE) AS score, 100 + g.id % 7 AS bytes FROM g JOIN embeddings x ON x.vec_id = g.id JOIN embeddings y ON y.vec_id = reference),
       t AS (SELECT reference, count(*)::BIGINT AS members, round(min(score) FILTER (id <> reference), 6) AS low, round(max(score) FILTER (id <> reference), 6) AS high, (sum(bytes) FILTER (id <> reference))::BIGINT AS redundant_bytes FROM s GROUP BY 1)
       SELECT *, row_number() OVER (ORDER BY redundant_bytes DESC, reference)::INTEGER AS rank FROM t""",
-    "similar_groups_without_missing": _GROUPS + "SELECT reference, count(*)::BIGINT AS members, bool_or(id = reference) AS has_reference FROM g WHERE id % 5 <> 0 GROUP BY 1 HAVING count(*) > 1",
+    "similar_groups_without_missing": _GROUPS + """, q AS (SELECT id, reference, 100 + id % 7 AS bytes, CASE WHEN id % 2 = 0 THEN 'x' ELSE id::VARCHAR END AS sha, id % 3 AS w FROM g WHERE id % 5 <> 0),
+      l AS (SELECT *, first_value(id) OVER o AS f, first_value(sha) OVER o AS fs, first_value(w) OVER o AS fw, first_value(bytes) OVER o AS fb FROM q WINDOW o AS (PARTITION BY reference ORDER BY bytes DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+      SELECT reference, any_value(f) AS "first", count(*)::BIGINT AS members, CASE WHEN count(*) < (SELECT count(*) FROM g WHERE g.reference = l.reference) THEN CASE WHEN bool_and(sha = fs) THEN 'identical' WHEN bool_or(w <> fw) THEN 'resized' ELSE 'similar' END END AS kind,
+      (sum(bytes) - any_value(fb))::BIGINT AS redundant_bytes, any_value(f) = reference AS scored FROM l GROUP BY reference HAVING count(*) > 1""",
+    "ordered_groups": _GROUPS + "SELECT reference, string_agg(id::VARCHAR, ',' ORDER BY id % 7 DESC, id) AS members, coalesce(sum(100 + id % 7) FILTER (id <> reference), 0)::BIGINT AS redundant_bytes FROM g GROUP BY 1",
+    "similar_images": _IMAGES + """SELECT x.id AS a, y.id AS b FROM i x JOIN i y ON (x.bytes > y.bytes OR (x.bytes = y.bytes AND x.id < y.id)) AND x.variant <> y.variant AND abs(x.red - y.red) <= 14 AND abs(x.green - y.green) <= 14
+      AND abs(x.aspect - y.aspect) <= 0.03::DOUBLE * greatest(x.aspect, y.aspect) WHERE x.frames = 1 AND y.frames = 1 AND x.detailed AND y.detailed AND """ + _GAPS.format("<= 0.022::DOUBLE", "<= 0.03::DOUBLE", "<= 0.16::DOUBLE"),
+    "image_comparisons": _IMAGES + """, c AS (SELECT r.id AS reference, x.id, x.sha = r.sha AS identical, (abs(x.l1 - r.l1) + abs(x.l2 - r.l2) + abs(x.l3 - r.l3) + abs(x.l4 - r.l4)) / 4 AS brightness, abs(x.a4 - r.a4) / 4 AS opacity,
+      greatest(abs(x.red - r.red), abs(x.green - r.green)) / 255.0::DOUBLE AS color, greatest(abs(x.l1 - r.l1), abs(x.l2 - r.l2), abs(x.l3 - r.l3), abs(x.l4 - r.l4), abs(x.a4 - r.a4)) AS peak FROM i x JOIN i r ON r.id = greatest(x.id // 100 * 100, 1))
+      SELECT reference, id, identical, round(brightness, 6) AS brightness, round(opacity, 6) AS opacity, round(color, 6) AS color, round(peak, 6) AS peak, round(CASE WHEN identical THEN 100 ELSE least(greatest(100 * (1 - greatest(brightness, opacity, color)), 0), 99.9::DOUBLE) END, 6) AS score FROM c""",
     "group_kinds": _GROUPS + """SELECT reference, CASE WHEN reference % 4 = 0 THEN 'identical' WHEN bool_or(id % 2 <> reference % 2) AND bool_and(id % 3 * 0.01::DOUBLE <= 0.012::DOUBLE) THEN 'resized' ELSE 'similar' END AS kind,
       count(*)::BIGINT AS members, coalesce(sum(100 + id % 7) FILTER (id <> reference), 0)::BIGINT AS redundant_bytes FROM g GROUP BY 1""",
     "fingerprint_grid": "SELECT id, (pos // 8 * 4 // 8)::INTEGER AS gy, (pos % 8 * 4 // 8)::INTEGER AS gx, round(avg(v::DOUBLE), 6) AS mean FROM (SELECT vec_id AS id, unnest(embedding) AS v, unnest(range(0, 64)) AS pos FROM embeddings) GROUP BY ALL",

@@ -61,17 +61,33 @@ def values_qualifiers(spark, sf_dir):
     return p.select("p_partkey", l10n.non_locale_qualifiers(F.col("folder")).alias("qualifiers"))
 
 
+def _names_and_files(spark, sf_dir):
+    """Every part is a name, and a file that uses three names in its own way: XML, Kotlin, Java or something else."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    name = lambda k: F.concat(F.lit("n"), k.cast("string"))
+    names = p.select(F.lit("string").alias("type"), name(F.col("k")).alias("name"))
+    a, b, c = name(F.floor(F.col("k") / 2)), name(F.col("k") % 57), name(F.col("k") % 7)
+    xml = F.concat(F.lit('<t a="@string/'), a, F.lit('" b="@+string/'), b, F.lit('" c="@android:string/'), c, F.lit('" d="@drawable/'), a, F.lit('"/>R.string.'), a)
+    code = F.concat(F.lit("f(R.string."), a, F.lit(", R . string\n . "), b, F.lit(", xR.string."), c, F.lit(", R.string."), c, F.lit("_x) @string/"), a, F.when(F.col("k") % 100 < 4, " getIdentifier(x)").otherwise(""))
+    kind = F.get(F.array(*map(F.lit, ["xml", "kt", "java", "md"])), (F.col("k") % 4).cast("int"))
+    files = p.select(F.concat(F.lit("src/f"), F.lpad(F.col("k").cast("string"), 8, "0"), F.lit("."), kind).alias("path"), F.when(kind == "xml", xml).otherwise(code).alias("text"))
+    return names, files
+
+
 def usage_counts(spark, sf_dir):
-    """Names made of words of part names, used in texts made of the rows before them."""
-    p = read(spark, sf_dir, "part")
-    names = p.where("p_partkey < 40").select(F.lit("string").alias("type"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"))
-    text = F.concat(F.lit("a @string/n"), (F.col("p_partkey") % 57).cast("string"), F.lit(" R.string.n"), (F.col("p_partkey") % 31).cast("string"), F.when(F.col("p_partkey") % 100 == 0, " getIdentifier(x)").otherwise(""))
-    files = p.select(F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("path"), text.alias("text"))
-    out = usage.usage(names, files, ["string", "drawable"])
-    return out.select("type", "name", "references", F.array_join("files", ",").alias("files"), "dynamic_lookup_files")
+    """Uses of all parts' names in files made of all parts."""
+    out = usage.usage(*_names_and_files(spark, sf_dir))
+    return out.select("type", "name", "xml_references", "code_references", F.array_join("files", ",").alias("files"), "dynamic_lookup_files")
+
+
+def name_uniqueness(spark, sf_dir):
+    """Uniqueness of file names and lookup names among paths made of parts."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    name = F.concat(F.when(F.col("k") % 2 == 0, "Icon").otherwise("icon"), F.floor(F.col("k") / 3).cast("string"), F.get(F.array(*map(F.lit, ["", "@2x", "@3x"])), (F.col("k") % 3).cast("int")), F.when(F.col("k") % 5 == 0, ".txt").otherwise(".png"))
+    return usage.uniqueness(p.select(F.concat(F.lit("d"), (F.col("k") % 11).cast("string"), F.lit("/"), name).alias("path")).distinct())
 
 
-QUERIES = {f.__name__: f for f in (language_coverage, extra_keys, missing_keys, issues_top500, issue_counts, stale_keys, source_language, placeholder_mismatch, shared_language_labels, values_qualifiers, usage_counts)}
+QUERIES = {f.__name__: f for f in (language_coverage, extra_keys, missing_keys, issues_top500, issue_counts, stale_keys, source_language, placeholder_mismatch, shared_language_labels, values_qualifiers, usage_counts, name_uniqueness)}
 _BASE = "WITH" + ENTRIES_SQL
 _SIG = r"list_transform(list_sort(list_transform(list_filter(regexp_extract_all({0}, '%%|%(?:\d+\$)?[-+#0]*\d*(?:\.\d+)?(?:hh|h|ll|l|q|z|t|j|L)?[@diouxXeEfFgGaAcCsSp]'), lambda t: t <> '%%'), lambda t, i: {{'place': coalesce(nullif(regexp_extract(t, '^%(\d+)\$', 1), '')::INT, i::INT), 'kind': CASE WHEN lower(right(t, 1)) IN ('d','i','u','o','x') THEN 'd' WHEN lower(right(t, 1)) IN ('f','e','g','a') THEN 'f' WHEN lower(right(t, 1)) IN ('@','s') THEN 's' ELSE lower(right(t, 1)) END}})), lambda a: a.place::VARCHAR || a.kind)"
 _ARRAY = "['%d of %s', '%1$d of %2$@', '%2$s at %1$ld', '100% done', '%f%%', '%u', '%.2f and %@']"
@@ -81,7 +97,8 @@ ORACLE_SQL = {
       count(*) FILTER (outcome = 'translated' AND review)::BIGINT AS needs_review, count(issue)::BIGINT AS issues, (SELECT count(*)::BIGINT FROM x WHERE x.language = chk.language) AS extra FROM chk GROUP BY language""",
     "extra_keys": _BASE + " " + _EXTRA,
     "missing_keys": _BASE + " SELECT language, key FROM chk WHERE outcome = 'missing'",
-    "issues_top500": _BASE + " SELECT issue AS kind, key, language, array_to_string(expected, ' ') AS expected, array_to_string(found, ' ') AS found, coalesce(value, '') AS text FROM chk WHERE issue IS NOT NULL ORDER BY key, language LIMIT 500",
+    "issues_top500": _BASE + """ SELECT issue AS kind, key, language, CASE WHEN issue = 'empty_value' THEN '' ELSE shown_expected END AS expected, CASE WHEN issue = 'empty_value' THEN '' ELSE shown_found END AS found,
+      CASE WHEN length(value) > 160 THEN left(value, 160) || '…' ELSE value END AS text FROM chk WHERE issue IS NOT NULL ORDER BY key, language LIMIT 500""",
     "issue_counts": _BASE + " SELECT issue AS kind, count(*)::BIGINT AS n FROM chk WHERE issue IS NOT NULL GROUP BY 1",
     "stale_keys": _BASE + " SELECT count(*)::BIGINT AS stale_keys FROM keys WHERE key IN (SELECT key FROM ent WHERE stale)",
     "source_language": _BASE + " SELECT language FROM ent WHERE language <> 'en' GROUP BY 1 ORDER BY count(*) DESC, language LIMIT 1",
@@ -89,7 +106,11 @@ ORACLE_SQL = {
       SELECT p_partkey, array_to_string(a, ' ') AS expected, array_to_string(b, ' ') AS found, CASE WHEN a = b THEN NULL WHEN list_transform(a, lambda x: regexp_replace(x, '[^0-9]', '', 'g')) = list_transform(b, lambda x: regexp_replace(x, '[^0-9]', '', 'g')) THEN 'placeholder_type' ELSE 'placeholder_count' END AS kind FROM t""",
     "shared_language_labels": "SELECT 't' AS \"table\", n_name AS folder, CASE WHEN count(*) OVER (PARTITION BY left(n_name, 1)) > 1 THEN left(n_name, 1) || ' (' || n_name || ')' ELSE left(n_name, 1) END AS language FROM nation",
     "values_qualifiers": "SELECT p_partkey, ['', '', '', 'car', 'night', 'night-v21', 'land-rUS', 'hdpi'][(p_partkey % 8)::INT + 1] AS qualifiers FROM part",
-    "usage_counts": """WITH f AS (SELECT lpad(p_partkey::VARCHAR, 8, '0') AS path, p_partkey AS k FROM part), t AS (SELECT path, 'n' || (k % 57) AS name FROM f UNION ALL SELECT path, 'n' || (k % 31) FROM f),
-      u AS (SELECT name, count(*)::BIGINT AS refs, array_to_string(list_sort(list(DISTINCT path))[1:20], ',') AS files FROM t GROUP BY 1)
-      SELECT 'string' AS type, 'n' || p_partkey AS name, coalesce(refs, 0)::BIGINT AS "references", coalesce(files, '') AS files, (SELECT count(*) FILTER (k % 100 = 0)::BIGINT FROM f) AS dynamic_lookup_files FROM part LEFT JOIN u ON u.name = 'n' || p_partkey WHERE p_partkey < 40""",
+    "usage_counts": """WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS t, 'src/f' || lpad(p_partkey::VARCHAR, 8, '0') || '.' || ['xml', 'kt', 'java', 'md'][(p_partkey % 4)::INT + 1] AS path FROM part),
+      u AS (SELECT 'n' || (k // 2) AS name, path, t FROM p WHERE t < 3 UNION ALL SELECT 'n' || (k % 57), path, t FROM p WHERE t < 3 UNION ALL SELECT 'n' || (k % 7), path, t FROM p WHERE t = 0),
+      g AS (SELECT name, count(*) FILTER (t = 0)::BIGINT AS x, count(*) FILTER (t > 0)::BIGINT AS c, array_to_string(list_sort(list(DISTINCT path))[1:20], ',') AS files FROM u GROUP BY 1)
+      SELECT 'string' AS type, 'n' || k AS name, coalesce(x, 0)::BIGINT AS xml_references, coalesce(c, 0)::BIGINT AS code_references, coalesce(files, '') AS files, (SELECT count(*) FILTER (k % 100 < 4 AND t IN (1, 2))::BIGINT FROM p) AS dynamic_lookup_files FROM p LEFT JOIN g ON g.name = 'n' || k""",
+    "name_uniqueness": """WITH p AS (SELECT DISTINCT 'd' || (p_partkey % 11) || '/' || CASE WHEN p_partkey % 2 = 0 THEN 'Icon' ELSE 'icon' END || (p_partkey // 3) || ['', '@2x', '@3x'][(p_partkey % 3)::INT + 1] || CASE WHEN p_partkey % 5 = 0 THEN '.txt' ELSE '.png' END AS path FROM part),
+      n AS (SELECT path, lower(split_part(path, '/', 2)) AS base, regexp_replace(lower(split_part(split_part(path, '/', 2), '.', 1)), '@[23]x$', '') AS lookup, path LIKE '%.png' AS image FROM p)
+      SELECT path, NOT EXISTS (SELECT 1 FROM n b WHERE b.base = a.base AND b.path <> a.path) AS basename_unique, NOT EXISTS (SELECT 1 FROM n b WHERE b.image AND b.lookup = a.lookup AND b.path <> a.path) AS lookup_unique FROM n a""",
 }

@@ -24,7 +24,7 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as candidates of the orders."""
+    """lineitem as candidates of the orders. Savings need the original's size, the one column that is joined in."""
     c = read(spark, sf_dir, "lineitem")
     size = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor("o_totalprice").cast("long").alias("original"))
     new = F.floor("l_extendedprice").cast("long")
@@ -56,34 +56,37 @@ wrn AS (
 cand AS (
   SELECT *, CASE WHEN NOT smaller THEN 'not_smaller' ELSE warnings[1] END AS rejection, smaller AND len(warnings) = 0 AS valid, smaller AS artifact FROM wrn)"""
 
-#: Texts given to localization entries by doc_id modulo 7.
-VALUES = ["", "n %d", "n %@", "%1$s of %2$d", "%ld items", "5% bonus", "plain %f"]
+#: What localization texts begin with, by doc_id modulo 7.
+VALUES = ["", "n %d ", "n %@ ", "%1$s of %2$d ", "%ld items ", "5% bonus ", "plain %f "]
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as localization entries."""
+    """documents as localization entries: four neighbours share a key, so keys grow with the table, and the text is the document's own."""
     d = read(spark, sf_dir, "documents")
-    value = F.get(F.array(*[F.lit(v) for v in VALUES]), (F.col("doc_id") % 7).cast("int"))
+    start = F.get(F.array(*[F.lit(v) for v in VALUES]), (F.col("doc_id") % 7).cast("int"))
+    value = F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.concat(start, F.coalesce("text", F.lit(""))))
     return d.select(
-        F.col("lang").alias("language"), F.concat(F.lit("k"), (F.floor(F.col("doc_id") / 3) % 150).cast("string")).alias("key"),
+        F.col("lang").alias("language"), F.concat(F.lit("k"), F.floor(F.col("doc_id") / 4).cast("string")).alias("key"),
         F.when(F.col("doc_id") % 31 == 0, "plural").when(F.col("doc_id") % 29 == 0, "empty").otherwise("singular").alias("value_kind"), value.alias("value"),
         F.when(F.col("doc_id") % 5 == 0, "needs_review").otherwise("translated").alias("status"), (F.col("doc_id") % 41 == 0).alias("stale"), (F.col("doc_id") % 97 != 0).alias("translatable"), F.col("doc_id").alias("seq"),
     )
 
 
+_TOKENS = r"list_filter(regexp_extract_all(coalesce(value, ''), '%%|%(?:\d+\$)?[-+#0]*\d*(?:\.\d+)?(?:hh|h|ll|l|q|z|t|j|L)?[@diouxXeEfFgGaAcCsSp]'), lambda t: t <> '%%')"
+_PLACED = "list_sort(list_transform(" + _TOKENS + r""", lambda t, i: {'place': coalesce(nullif(regexp_extract(t, '^%(\d+)\$', 1), '')::INT, i::INT), 'letter': CASE WHEN right(t, 1) = '@' THEN 's' ELSE right(t, 1) END}))"""
 ENTRIES_SQL = f"""
 ent0 AS (
-  SELECT lang AS language, 'k' || ((doc_id // 3) % 150)::VARCHAR AS key, CASE WHEN doc_id % 31 = 0 THEN 'plural' WHEN doc_id % 29 = 0 THEN 'empty' ELSE 'singular' END AS value_kind,
-    {VALUES!r}[(doc_id % 7)::INT + 1] AS value, CASE WHEN doc_id % 5 = 0 THEN 'needs_review' ELSE 'translated' END AS status, doc_id % 41 = 0 AS stale, doc_id % 97 <> 0 AS translatable, doc_id AS seq FROM documents),
+  SELECT lang AS language, 'k' || (doc_id // 4)::VARCHAR AS key, CASE WHEN doc_id % 31 = 0 THEN 'plural' WHEN doc_id % 29 = 0 THEN 'empty' ELSE 'singular' END AS value_kind,
+    CASE WHEN doc_id % 11 = 0 THEN '' ELSE {VALUES!r}[(doc_id % 7)::INT + 1] || coalesce(text, '') END AS value, CASE WHEN doc_id % 5 = 0 THEN 'needs_review' ELSE 'translated' END AS status, doc_id % 41 = 0 AS stale, doc_id % 97 <> 0 AS translatable, doc_id AS seq FROM documents),
 ent AS (SELECT * FROM ent0 QUALIFY row_number() OVER (PARTITION BY language, key ORDER BY seq DESC) = 1),
 src AS (SELECT * FROM ent WHERE language = 'en'),
 bar AS (SELECT DISTINCT key FROM ent WHERE NOT translatable),
 keys AS (SELECT DISTINCT key FROM src WHERE key NOT IN (SELECT key FROM bar)),
-sig AS (
-  SELECT *, list_transform(list_sort(list_transform(list_filter(regexp_extract_all(coalesce(value, ''), '%%|%(?:\\d+\\$)?[-+#0]*\\d*(?:\\.\\d+)?(?:hh|h|ll|l|q|z|t|j|L)?[@diouxXeEfFgGaAcCsSp]'), lambda t: t <> '%%'),
-    lambda t, i: {{'place': coalesce(nullif(regexp_extract(t, '^%(\\d+)\\$', 1), '')::INT, i::INT), 'kind': CASE WHEN lower(right(t, 1)) IN ('d','i','u','o','x') THEN 'd' WHEN lower(right(t, 1)) IN ('f','e','g','a') THEN 'f' WHEN lower(right(t, 1)) IN ('@','s') THEN 's' ELSE lower(right(t, 1)) END}})), lambda a: a.place::VARCHAR || a.kind) AS args FROM ent),
+placed AS (SELECT *, {_PLACED} AS placed FROM ent),
+sig AS (SELECT *, list_transform(placed, lambda a: '%' || a.place || '$' || a.letter) AS shown,
+    list_transform(placed, lambda a: a.place::VARCHAR || CASE WHEN lower(a.letter) IN ('d','i','u','o','x') THEN 'd' WHEN lower(a.letter) IN ('f','e','g','a') THEN 'f' ELSE lower(a.letter) END) AS args FROM placed),
 cell AS (
-  SELECT l.language, k.key, e.value, e.args AS found, o.args AS expected,
+  SELECT l.language, k.key, e.value, e.args AS found, o.args AS expected, array_to_string(o.shown, ' ') AS shown_expected, array_to_string(e.shown, ' ') AS shown_found,
     CASE WHEN e.key IS NULL THEN 'missing' WHEN e.value_kind = 'singular' AND e.value = '' THEN 'empty' WHEN e.value_kind IN ('singular', 'plural') THEN 'translated' ELSE 'missing' END AS outcome,
     e.status IN ('needs_review', 'stale') AS review, e.value_kind = 'singular' AND l.language <> 'en' AND o.key IS NOT NULL AS compared
   FROM keys k CROSS JOIN (SELECT DISTINCT language FROM ent) l LEFT JOIN sig e ON e.language = l.language AND e.key = k.key

@@ -11,8 +11,8 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SCHEMA = "path string, format string, language string, key string, value_kind string, value string, status string, stale boolean, translatable boolean, seq long, error string"
-_COLUMNS = ["path", "format", "language", "key", "value_kind", "value", "status", "stale", "translatable", "seq", "error"]
+SCHEMA = "path string, format string, declared string, language string, key string, value_kind string, value string, status string, stale boolean, translatable boolean, seq long, error string"
+_COLUMNS = ["path", "format", "declared", "language", "key", "value_kind", "value", "status", "stale", "translatable", "seq", "error"]
 _PAIR = re.compile(r'"((?:[^"\\]|\\.)*)"\s*=\s*"((?:[^"\\]|\\.)*)"\s*;', re.S)
 _COMMENT = re.compile(r'("(?:[^"\\]|\\.)*")|/\*.*?\*/|//[^\n]*', re.S)
 # Escapes of .strings files.
@@ -101,6 +101,8 @@ def parse(path: str, data: bytes) -> tuple[str, list[tuple]] | None:
             return "xcstrings", list(catalog(data))
         if name.endswith(".stringsdict"):
             return "stringsdict", list(stringsdict(path, data))
+        if name.endswith(".strings") and data.startswith(b"bplist"):
+            return None  # compiled
         if name.endswith(".strings"):
             return "strings", list(strings(path, data))
         if name.endswith(".xml") and re.search(r"(^|/)res/values[^/]*/[^/]+$", path):
@@ -110,6 +112,11 @@ def parse(path: str, data: bytes) -> tuple[str, list[tuple]] | None:
     return None
 
 
+def declared_source(path: str, data: bytes) -> str:
+    """The source language that a string catalog names; empty for other files."""
+    return json.loads(data).get("sourceLanguage", "") if path.endswith(".xcstrings") else ""
+
+
 def localization_entries(files: DataFrame) -> DataFrame:
     """files (path, content) -> entries; a broken file gives one row with its error, other files none."""
 
@@ -119,11 +126,12 @@ def localization_entries(files: DataFrame) -> DataFrame:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
                     found = parse(path, content or b"")
-                    rows += [(path, found[0], *e, i, None) for i, e in enumerate(found[1])] if found else []
+                    named = declared_source(path, content or b"") if found else ""
+                    rows += [(path, found[0], named, *e, i, None) for i, e in enumerate(found[1])] if found else []
                 except ValueError as e:
-                    rows.append((path, *(None,) * 9, str(e)))
-            columns = list(zip(*rows, strict=True)) or [()] * 11
-            kinds = [pa.string()] * 7 + [pa.bool_(), pa.bool_(), pa.int64(), pa.string()]
+                    rows.append((path, *(None,) * 10, str(e)))
+            columns = list(zip(*rows, strict=True)) or [()] * 12
+            kinds = [pa.string()] * 8 + [pa.bool_(), pa.bool_(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=_COLUMNS)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 # Channels of a PNG colour type; the seven passes of interlacing as x, y, dx, dy.
@@ -16,7 +19,7 @@ MAX_BOXES, MAX_VAPC, MAX_PAG = 10_000, 1 << 20, 16 << 20
 
 
 def chunks(data: bytes) -> list[tuple[str, bytes]]:
-    """(type, payload) in order, all IDAT as one empty mark. Raises ValueError for what is no whole PNG."""
+    """(type, payload) in order, all IDAT together as one empty mark where the first stands. Raises ValueError for what is no whole PNG."""
     if not data.startswith(SIGNATURE):
         raise ValueError("not a PNG")
     at, out = 8, []
@@ -28,7 +31,7 @@ def chunks(data: bytes) -> list[tuple[str, bytes]]:
         at += 12 + size
         name = kind.decode("latin-1")
         if name == "IDAT":
-            if not out or out[-1][0] != "IDAT":
+            if all(kind != "IDAT" for kind, _ in out):
                 out.append((name, b""))
         else:
             out.append((name, payload))
@@ -141,34 +144,131 @@ def recompress(data: bytes) -> bytes | None:
     return out if len(out) < len(data) and equal_images(data, out) else None
 
 
-def vap(data: bytes) -> dict | None:
-    """The description in an MP4's one top-level `vapc` box, or None. Raises ValueError for broken boxes."""
-    at, found, seen = 0, None, 0
-    while at + 8 <= len(data):
+# What a VAP description may say: its version, greatest video side, canvas pixels, frames and frame rates.
+VAP_VERSION, VAP_SIDE, VAP_PIXELS, VAP_FRAMES, VAP_FPS = 2, 8_192, 16_777_216, 1_000_000, (1, 120)
+
+
+def _boxes(data: bytes):
+    """(kind, body) of the top-level boxes. Raises ValueError for a broken one or too many."""
+    at = 0
+    for _ in range(MAX_BOXES):
+        if at >= len(data):
+            return
+        if at + 8 > len(data):
+            raise ValueError("truncated box")
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         head = 8
         if size == 1:
-            size, head = struct.unpack(">Q", data[at + 8 : at + 16].rjust(8, b"\0"))[0], 16
-        size = size or len(data) - at
-        seen += 1
-        if size < head or at + size > len(data) or seen > MAX_BOXES:
-            raise ValueError("broken boxes")
-        if kind == b"vapc":
-            if found is not None or size - head > MAX_VAPC:
-                raise ValueError("more than one description, or too long")
-            found = json.loads(data[at + head : at + size])
+            if at + 16 > len(data):
+                raise ValueError("truncated large box")
+            size, head = struct.unpack(">Q", data[at + 8 : at + 16])[0], 16
+        elif size == 0:
+            size = len(data) - at
+        if size < head or at + size > len(data):
+            raise ValueError("box size out of range")
+        yield kind, data[at + head : at + size], size
         at += size
-    if found is None:
-        return None
-    info = found.get("info", {})
-    if not (0 < info.get("w", 0) <= 16_384 and 0 < info.get("h", 0) <= 16_384 and info.get("f", 0) > 0):
-        raise ValueError("description out of range")
-    return info
+    if at < len(data):
+        raise ValueError("too many boxes")
 
 
-def pag(data: bytes) -> dict | None:
-    """Version and compression of a PAG file whose body has the length its header says, or None."""
-    if len(data) < 9 or len(data) > MAX_PAG or data[:3] != b"PAG":
+def vap(data: bytes) -> dict | None:
+    """The description in an MP4's one top-level `vapc` box (info, and the number of sources as `sources`), or None. Raises ValueError for broken boxes and what the description may not say."""
+    if data[4:8] != b"ftyp":
         return None
-    version, size, compression = data[3], struct.unpack("<I", data[4:8])[0], data[8]
-    return {"version": version, "compression": chr(compression)} if size == len(data) - 9 else None
+    found = None
+    for kind, body, size in _boxes(data):
+        if kind != b"vapc":
+            continue
+        if found is not None:
+            raise ValueError("more than one description")
+        if size > MAX_VAPC:
+            raise ValueError("description too long")
+        doc = json.loads(body)
+        found = _vap_info(doc["info"]) | {"sources": len(doc.get("src", []))} if isinstance(doc, dict) and isinstance(doc.get("info"), dict) else {}
+        if not found:
+            raise ValueError("description without info")
+    return found
+
+
+def _vap_info(info: dict) -> dict:
+    whole = lambda x: isinstance(x, int) and not isinstance(x, bool) and 0 <= x < 1 << 32
+    sides = [info.get(k) for k in ("v", "w", "h", "videoW", "videoH", "f")]
+    regions = [info.get("rgbFrame"), info.get("aFrame")]
+    if not all(map(whole, sides)) or not isinstance(info.get("fps"), (int, float)) or not all(isinstance(r, list) and len(r) == 4 and all(map(whole, r)) for r in regions):
+        raise ValueError("description with wrong types")
+    version, width, height, video_w, video_h, frames = sides
+    canvas = width > 0 and height > 0 and width * height <= VAP_PIXELS and 0 < video_w <= VAP_SIDE and 0 < video_h <= VAP_SIDE
+    if version != VAP_VERSION or not canvas or not 0 < frames <= VAP_FRAMES or not VAP_FPS[0] <= info["fps"] <= VAP_FPS[1]:
+        raise ValueError("canvas or timing out of range")
+    for x, y, w, h in regions:
+        if not (w > 0 and h > 0 and x + w <= video_w and y + h <= video_h):
+            raise ValueError("region out of bounds")
+    return {k: info[k] for k in ("w", "h", "videoW", "videoH", "f", "fps", "rgbFrame", "aFrame")}
+
+
+def pag(data: bytes) -> dict:
+    """Version and compression of a PAG file. Raises ValueError for another header, version or compression, or a body not of the length that the header says."""
+    if len(data) < 11 or not data.startswith(b"PAG"):
+        raise ValueError("no PAG header")
+    if len(data) > MAX_PAG:
+        raise ValueError("too large")
+    version, size, compression = data[3], struct.unpack("<I", data[4:8])[0], data[8:9]
+    if version != 1 or compression != b"U":
+        raise ValueError("unsupported version or compression")
+    if size != len(data) - 9:
+        raise ValueError("body length differs from header")
+    return {"version": version, "compression": compression.decode()}
+
+
+def descriptions(files: DataFrame) -> DataFrame:
+    """files (path, content) -> (path, kind, width, height, frames, fps, error): what MP4 and PAG files say; kind is vap, mp4 or pag, other files have no row."""
+    schema = "path string, kind string, width int, height int, frames int, fps double, error string"
+
+    def look(path: str, data: bytes) -> tuple | None:
+        if path.lower().endswith(".pag") or data.startswith(b"PAG"):
+            return ("pag", *[None] * 4, _error(pag, data))
+        if not path.lower().endswith((".mp4", ".vap", ".tcmp4")):
+            return None
+        try:
+            info = vap(data)
+        except ValueError as e:
+            return ("vap", *[None] * 4, str(e))
+        return ("vap", info["w"], info["h"], info["f"], float(info["fps"]), None) if info else ("mp4", *[None] * 5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
+        for batch in batches:
+            rows = [(p, *found) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True) if (found := look(p, c or b""))]
+            columns = list(zip(*rows, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def _error(read: Callable[[bytes], object], data: bytes) -> str | None:
+    try:
+        read(data)
+    except ValueError as e:
+        return str(e)
+    return None
+
+
+def recompressed(files: DataFrame) -> DataFrame:
+    """files (path, content) of PNGs -> (path, bytes, new_bytes, content, error): each deflated anew and checked to show the same; content is null where that is not smaller."""
+    schema = "path string, bytes long, new_bytes long, content binary, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                data = data or b""
+                try:
+                    new = recompress(data)
+                    rows.append((path, len(data), len(new) if new else len(data), new, None))
+                except (ValueError, KeyError, zlib.error, struct.error, IndexError) as e:
+                    rows.append((path, len(data), None, None, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+
+    return files.select("path", "content").mapInArrow(run, schema)

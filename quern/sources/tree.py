@@ -15,8 +15,9 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-# Directories that are never entered.
-EXCLUDED = {".git", ".worktrees", ".build", "target", "build", "DerivedData", "Pods", "Carthage", "node_modules"}
+# Directories that are never entered, and those that only a catalog scan leaves out.
+EXCLUDED = {".git", ".worktrees", ".worktree", ".build", ".swiftpm", ".quern", "target", "build", "DerivedData", ".github", ".codex", ".claude", ".agents", ".idea", ".vscode"}
+DEPENDENCIES = {"Pods", "Carthage", "node_modules"}
 HEADER, MAX_BYTES, PER_PARTITION = 512, 64 << 20, 500
 
 
@@ -64,41 +65,66 @@ class Ignore:
         return out
 
 
-def tracked(root: str) -> set[str]:
-    """Files that git tracks, which count even when ignored; none without git."""
+def _git(root: str, *args: str) -> str | None:
+    """What a git command prints, or None without git or outside a work tree."""
     try:
-        done = subprocess.run(["git", "-C", root, "ls-files", "-z"], capture_output=True, timeout=60)
+        done = subprocess.run(["git", "-c", "core.fsmonitor=false", "-C", root, *args], capture_output=True, timeout=60, env=os.environ | {"GIT_OPTIONAL_LOCKS": "0"})
     except (OSError, subprocess.TimeoutExpired):
-        return set()
-    return set(filter(None, done.stdout.decode(errors="surrogateescape").split("\0"))) if done.returncode == 0 else set()
+        return None
+    return done.stdout.decode(errors="surrogateescape") if done.returncode == 0 else None
+
+
+def tracked(root: str) -> set[str]:
+    """Files that git tracks, those of submodules too, which count even when ignored; none below a folder that is never entered."""
+    prefix = _git(root, "rev-parse", "--show-prefix")
+    listed = _git(root, "ls-files", "--cached", "--recurse-submodules", "--full-name", "-z", "--", ".") if prefix is not None else None
+    prefix = (prefix or "").rstrip("\r\n")
+    names = [n[len(prefix) :] for n in (listed or "").split("\0") if n and n.startswith(prefix)]
+    return {n for n in names if not EXCLUDED & set(n.split("/")[:-1]) and not {"", ".", ".."} & set(n.split("/"))}
+
+
+def _read_rules(path: str) -> list[Ignore]:
+    if not os.path.isfile(path):
+        return []
+    with open(path, encoding="utf-8", errors="replace") as f:
+        return [Ignore(f.readlines())]
+
+
+def global_rules(root: str) -> list[Ignore]:
+    """The user's own ignore file: git's core.excludesFile, else git/ignore in the configuration folder."""
+    named = (_git(root, "config", "--path", "--get", "core.excludesFile") or "").strip()
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+    return _read_rules(named or os.path.join(home, "git", "ignore"))
+
+
+def parent_rules(root: str) -> list[tuple[str, Ignore]]:
+    """Rules of the folders above the root, the farthest first, each with its path from there to the root."""
+    root = os.path.abspath(root)
+    out, inside, folder = [], os.path.basename(root), os.path.dirname(root)
+    while inside:
+        out += [(inside, rule) for rule in _read_rules(os.path.join(folder, ".gitignore"))]
+        if os.path.isdir(os.path.join(folder, ".git")) or folder == os.path.dirname(folder):
+            break
+        inside, folder = f"{os.path.basename(folder)}/{inside}", os.path.dirname(folder)
+    return out[::-1]
 
 
 def walk(root: str, include_ignored: bool = False) -> list[str]:
     """Relative paths of a tree's files, in order of their parts."""
     found: list[str] = []
     known = set() if include_ignored else tracked(root)
-    above = {os.path.dirname(k) for k in known}
-    while any(os.path.dirname(a) not in above for a in above if a):
-        above |= {os.path.dirname(a) for a in above if a}
-
-    def rules_of(folder: str) -> list[tuple[str, Ignore]]:
-        out = []
-        for name in (".git/info/exclude", ".gitignore", ".ignore") if not folder else (".gitignore", ".ignore"):
-            path = os.path.join(root, folder, name)
-            if os.path.isfile(path):
-                with open(path, encoding="utf-8", errors="replace") as f:
-                    out.append((folder, Ignore(f.readlines())))
-        return out
+    above = {"/".join(k.split("/")[:n]) for k in known for n in range(1, k.count("/") + 1)}
+    outer = [] if include_ignored else parent_rules(root)
+    first = [] if include_ignored else [("", r) for r in global_rules(root) + _read_rules(os.path.join(root, ".git", "info", "exclude"))]
 
     def ignored(path: str, is_dir: bool, rules: list[tuple[str, Ignore]]) -> bool:
-        out = False
-        for base, ignore in rules:
-            said = ignore.verdict(path[len(base) + 1 :] if base else path, is_dir)
-            out = out if said is None else said
-        return out
+        said = [ignore.verdict(f"{inside}/{path}", is_dir) for inside, ignore in outer]
+        said = [ignore.verdict(path, is_dir) for _, ignore in first] + said
+        said += [ignore.verdict(path[len(base) + 1 :] if base else path, is_dir) for base, ignore in rules]
+        return next((v for v in reversed(said) if v is not None), False)
 
     def visit(folder: str, rules: list[tuple[str, Ignore]]) -> None:
-        rules = rules if include_ignored else rules + rules_of(folder)
+        rules = rules if include_ignored else rules + [(folder, r) for r in _read_rules(os.path.join(root, folder, ".gitignore"))]
         for entry in sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name):
             path = f"{folder}/{entry.name}" if folder else entry.name
             if entry.is_symlink():

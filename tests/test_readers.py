@@ -59,10 +59,42 @@ def test_png():
             media.chunks(bad)
 
 
-def test_effects():
-    body = json.dumps({"info": {"w": 4, "h": 4, "f": 10}}).encode()
-    box = struct.pack(">I4s", 8 + len(body), b"vapc") + body
-    assert media.vap(struct.pack(">I4s", 8, b"free") + box)["f"] == 10 and media.vap(struct.pack(">I4s", 8, b"free")) is None
-    with pytest.raises(ValueError):
-        media.vap(box + box)
-    assert media.pag(b"PAG\x01" + struct.pack("<I", 3) + b"Zabc")["version"] == 1 and media.pag(b"PAG\x01" + struct.pack("<I", 9) + b"Zabc") is None
+VAP = {"v": 2, "w": 6, "h": 2, "f": 3, "fps": 30.0, "videoW": 12, "videoH": 2, "rgbFrame": [0, 0, 6, 2], "aFrame": [6, 0, 6, 2]}
+
+
+def box(kind, body):
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def test_vap():
+    start = box(b"ftyp", b"mp42")
+    told = lambda **k: box(b"vapc", json.dumps({"info": VAP | k}).encode())
+    assert media.vap(start + box(b"free", b"") + told())["f"] == 3
+    assert media.vap(start) is None and media.vap(told()) is None and media.vap(b"") is None
+    last = start + struct.pack(">I4s", 0, b"vapc") + json.dumps({"info": VAP}).encode()
+    large = json.dumps({"info": VAP}).encode()
+    assert media.vap(last)["w"] == 6 and media.vap(start + struct.pack(">I4sQ", 1, b"vapc", 16 + len(large)) + large)["w"] == 6
+    for bad in (told() + told(), told(v=1), told(w=0), told(fps=0.5), told(fps=121), told(videoW=9000), told(f=0), told(aFrame=[7, 0, 6, 2]), told(rgbFrame=[0, 0, 0, 2]), told(w="6"), box(b"vapc", b"{"), b"\0\0\0\4free", b"\0\0"):
+        with pytest.raises(ValueError):
+            media.vap(start + bad)
+
+
+def test_pag():
+    head = lambda version, size, mark: b"PAG" + bytes([version]) + struct.pack("<I", size) + mark
+    assert media.pag(head(1, 2, b"U") + b"ab") == {"version": 1, "compression": "U"}
+    for bad in (b"", head(1, 1, b"U") + b"a", head(2, 2, b"U") + b"ab", head(1, 2, b"Z") + b"ab", head(1, 3, b"U") + b"ab", b"GAP" + head(1, 2, b"U")[3:] + b"ab"):
+        with pytest.raises(ValueError):
+            media.pag(bad)
+
+
+def test_png_marks_image_data_once():
+    data = png(np.zeros((2, 2, 4)))
+    parts = []
+    at = 8
+    while at < len(data):
+        size = struct.unpack(">I", data[at : at + 4])[0]
+        parts.append(data[at : at + 12 + size])
+        at += 12 + size
+    text = lambda t: struct.pack(">I", 1) + b"tEXt" + t + struct.pack(">I", zlib.crc32(b"tEXt" + t))
+    split = media.SIGNATURE + parts[0] + parts[1] + text(b"a") + parts[1] + parts[2]
+    assert [c[0] for c in media.chunks(split)] == ["IHDR", "IDAT", "tEXt", "IEND"]
