@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import forget, save
+from quern.llm.shared import forget, save, small
 
 
+#: Members of a bucket that one task tests against the bucket's others; larger buckets are split.
+MEMBERS = 2_000
 #: A cheap test of two nodes, from two functions that give a payload column of either.
 Near = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
@@ -52,7 +54,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return save(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots), "components")
 
 
-def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, once: bool = True) -> DataFrame:
+def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, once: bool = True, crowd: int | None = None, leads: int = 4) -> DataFrame:
     """buckets (key, id, *payload) -> (id, component) over all verified links between ids that share a key.
 
     First each bucket's least id is paired with its other members; what verifies is joined up. Members of one component
@@ -60,7 +62,9 @@ def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify
     the cheap test `near` on payloads are tried, so no link is lost and groups of copies never expand into all pairs.
     `verify` takes distinct (a, b) with a < b and returns those that are linked. `refine` may give those few ids a finer
     payload (id, ...) and a test on it, so that hardly any pair that is not linked is put forward. `once` puts each pair forward in one bucket only, at the cost of an id's keys in
-    each of its rows; without it a pair comes from each bucket that has both, before it is made distinct.
+    each of its rows; without it a pair comes from each bucket that has both, before it is made distinct. With `crowd`, buckets of
+    more members than that are not tried in all pairs: each member meets the first of `leads` components, chosen by a hash of bucket
+    and component, so that other buckets of the same members choose others and the work grows with the members.
     """
     least = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
     kept = save(buckets.join(least, "key"), "buckets")
@@ -72,7 +76,6 @@ def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify
     part = kept.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"), *payload)
     mixed = part.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
     part = save(part.join(mixed, "key", "left_semi"), "mixed")
-    forget(kept)
     x_of, y_of = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     close = near(x_of, y_of)
     if refine:
@@ -82,8 +85,24 @@ def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify
     if once:
         part = part.join(part.groupBy("id").agg(F.collect_list("key").alias("keys")), "id")
         close = close & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
-    rest = part.alias("x").join(part.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part")) & close)
-    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    chosen = None
+    if crowd is not None:
+        crowded = save(part.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > crowd).select("key"), "crowded")
+        many = small(crowded, crowded.count())
+        heads = part.join(many, "key", "left_semi").groupBy("key", "part").agg(F.min("id").alias("id"))
+        first = Window.partitionBy("key").orderBy(F.xxhash64("key", "part"), "part")
+        heads = heads.withColumn("place", F.row_number().over(first)).where(F.col("place") <= leads).join(part.drop("part"), ["key", "id"])
+        pairs = part.alias("x").join(heads.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & close)
+        chosen = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        part = part.join(many, "key", "left_anti")
+    shares = part.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("shares"))
+    shares = save(shares.where("shares > 1"), "shares")
+    part = part.join(small(shares, shares.count()), "key", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    x = part.withColumn("share", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("shares")).cast("int"))
+    y = part.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    rest = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.part") < F.col("y.part")) & close)
+    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    rest = (rest.union(chosen) if chosen is not None else rest).distinct()
     rest = save(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = verify(rest)
     return connected_components(links.union(more))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import textkit
 from quern.llm.components import linked_components
-from quern.llm.shared import ready, save, small
+from quern.llm.shared import ready, save, scratch, small
 from quern.llm.textkit import U, mix
 
 
@@ -167,7 +167,12 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
     and text are read, so other columns can't clash. An empty table gives an empty result.
     """
     p = params or NearDup()
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
+    with scratch() as made:
+        return made.keep(save(_near_duplicates(docs, p), "near"))
+
+
+def _near_duplicates(docs: DataFrame, p: NearDup) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = [f"s{i}" for i in range(p.sketch_words)]
     schema = "doc_id long, n_shingles long, low long, high long, keys array<long>, " + ", ".join(f"{c} long" for c in words)

@@ -2,47 +2,108 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join may be broadcast up to this many rows of a few integers each (tens of MB); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join may be broadcast up to this many rows of a few integers each (some ten MB); beyond it the join shuffles.
+BROADCAST_ROWS = 300_000
+#: The same for tables of a single 64-bit key, with a number or two beside it.
+BROADCAST_KEYS = 1_000_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small, so that a Python worker holds a few MB of text at a time."""
+    """Keep Arrow batches small, so that a Python worker holds a few MB of text at a time, and remove a query's shuffle files at its end."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of its own where that is unset (tests)."""
+    """The folder that all executors share, spark.checkpoint.dir. Only a local session, whose executors share the driver's disk, may go without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="quern-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+class Scratch:
+    """Tables saved since a scratch() began, removed at its end but for those kept, which pass to the scratch around it."""
+
+    def __init__(self, spark_paths: list[str]):
+        self.paths, self.kept = spark_paths, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(_place(df))
+        return df
+
+
+_open: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Removes what save() writes inside it, but for tables given to keep(). Nothing that reads them lazily may outlive it."""
+    here = Scratch([])
+    _open.append(here)
+    try:
+        yield here
+    finally:
+        _open.pop()
+        spark = SparkSession.getActiveSession()
+        for path in here.paths:
+            if path in here.kept and _open:
+                _open[-1].paths.append(path)
+            elif path not in here.kept:
+                _delete(spark, path)
+
+
+def _place(df: DataFrame) -> str | None:
+    return next((f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()[:1]), None)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back. Lost executors don't lose it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    place = f"quern-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{place}"
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes and whole texts
+    if _open:
+        _open[-1].paths.append(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Remove a table made by save() that no later read needs."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    place = _place(df)
+    if place and place.startswith("quern-"):
+        _delete(df.sparkSession, place)
+
+
+def in_one_task(rows: DataFrame, run: Callable[[pa.Table], bytes]) -> bytes:
+    """run over all rows of a table whose size is bounded, in one executor task. The driver gets the resulting bytes only; a lost task is run again."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([run(pa.Table.from_batches(held))], pa.binary())], names=["made"])
+
+    made = rows.repartition(1).mapInArrow(task, "made binary").collect()
+    return bytes(made[0]["made"]) if made else run(rows.limit(0).toArrow())
 
 
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
