@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import ready, save
 
 
-def valid(vectors: DataFrame, zero: bool) -> tuple[DataFrame, int]:
-    """(vec_id, embedding as doubles) of the rows that take part, one for each vec_id, and the commonest dimension.
+def valid(vectors: DataFrame, zero: bool) -> DataFrame:
+    """(vec_id, embedding as doubles) of the rows that take part, one for each vec_id.
 
-    Out: null ids or vectors, null or non-finite components, other dimensions than the commonest, and, unless zero is
-    set, vectors without a component other than 0.
+    Out: null ids, null or empty vectors, null or non-finite components, and, unless zero is set, vectors without a
+    component other than 0.
     """
     ready(vectors.sparkSession)
     inf = F.lit(float("inf"))
@@ -25,10 +25,7 @@ def valid(vectors: DataFrame, zero: bool) -> tuple[DataFrame, int]:
     df = df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(good)
     if not zero:
         df = df.where(F.exists("embedding", lambda x: x != 0))
-    df = save(df.dropDuplicates(["vec_id"]), "vectors")
-    sizes = df.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = sizes[0]["d"] if sizes else 0
-    return df.where(F.size("embedding") == dim), dim
+    return save(df.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int, kind=np.float64) -> np.ndarray:
@@ -36,19 +33,27 @@ def matrix(column: pa.ChunkedArray | pa.Array, dim: int, kind=np.float64) -> np.
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), kind).reshape(-1, dim)
 
 
-def in_blocks(index: DataFrame, queries: DataFrame, search: Callable[[pa.Table, pa.Table], pa.Table], schema: str, index_rows: int, query_rows: int) -> DataFrame:
+def block_counts(index: DataFrame, queries: DataFrame, index_rows: int, query_rows: int) -> tuple[int, int]:
+    """Numbers of blocks of about so many rows, whatever the tables' sizes."""
+    return max(1, -(-index.count() // index_rows)), max(1, -(-queries.count() // query_rows))
+
+
+def in_blocks(index: DataFrame, queries: DataFrame, search: Callable[[pa.Table, pa.Table], pa.Table], schema: str, counts: tuple[int, int], ints: str | None = None, part: Callable[[Column], Column] | None = None) -> DataFrame:
     """search(queries of a block, index rows of a block) for every pair of blocks, united.
 
-    Blocks hold about index_rows and query_rows rows, whatever the tables' sizes, dealt by a hash of vec_id. Each row goes
-    once to every block of the other side; only search's own results come out.
+    Rows are dealt to blocks by a hash of vec_id. Each goes once to every block of the other side; only search's own
+    results come out. `ints` names a vector column: rows of different dimensions then never meet. `part` selects index blocks.
     """
-    n_index = max(1, -(-index.count() // index_rows))
-    n_query = max(1, -(-queries.count() // query_rows))
+    n_index, n_query = counts
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # columns of its own, where both are of one table
     spot = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    left = queries.withColumn("q_block", spot(n_query)).withColumn("i_block", every(n_index))
-    right = index.withColumn("i_block", spot(n_index)).withColumn("q_block", every(n_query))
-    keys = ["q_block", "i_block"]
+    size = F.size(ints) if ints else F.lit(0)
+    left = queries.withColumn("q_block", spot(n_query)).withColumn("i_block", every(n_index)).withColumn("size", size)
+    right = index.withColumn("i_block", spot(n_index)).withColumn("q_block", every(n_query)).withColumn("size", size)
+    if part is not None:
+        left, right = left.where(part(F.col("i_block"))), right.where(part(F.col("i_block")))
+    keys = ["q_block", "i_block", "size"]
     names = [f.name for f in queries.schema], [f.name for f in index.schema]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
