@@ -8,16 +8,20 @@ again by their exact distance.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import save
-from quern.llm.vectors import best, in_blocks, matrix, valid
+from quern.llm.shared import in_one_task, save, scratch
+from quern.llm.vectors import best, block_counts, in_blocks, matrix, valid
+
+SCHEMA = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass(frozen=True)
@@ -36,8 +40,8 @@ class Additive:
     beam: int = 4
     rounds: int = 1
     candidates: int = 400
-    index_rows: int = 65_536
-    query_rows: int = 1_024
+    index_rows: int = 16_384
+    query_rows: int = 4_096
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
@@ -145,21 +149,32 @@ def nearest(vectors: DataFrame, queries: Column, p: Additive | None = None) -> D
     """vectors (vec_id, embedding, ...) -> (query_id, rank, vec_id, score): the k nearest found of each row that `queries` selects.
 
     score is the exact Euclidean distance in doubles; nearest first, ties to the smaller vec_id; a query's own row is no
-    candidate. Vectors that are null, zero, or hold a null or non-finite component take no part, nor do those of another
-    dimension than the commonest; repeated rows of one vec_id count once. Other columns are not read. An empty table, or
-    one without queries, gives an empty result.
+    candidate. Vectors that are null, empty, zero, or hold a null or non-finite component take no part; each dimension
+    is indexed and searched on its own; repeated rows of one vec_id count once. Other columns are not read. An empty
+    table, or one without queries, gives an empty result.
     """
     p = p or Additive()
-    data, dim = valid(vectors, zero=False)
-    schema = "query_id long, rank int, vec_id long, score double"
-    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).select("embedding").toPandas()
-    if not len(sample):
-        return data.sparkSession.createDataFrame([], schema)
-    books = train(np.stack(sample["embedding"].to_numpy()).astype(np.float32), p)
+    with scratch() as made:
+        data = valid(vectors, zero=False)
+        sizes = [r["d"] for r in data.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
+        found = [_nearest(data.where(F.size("embedding") == d) if len(sizes) > 1 else data, queries, p) for d in sizes]
+        return made.keep(save(reduce(DataFrame.union, found), "nearest")) if found else data.sparkSession.createDataFrame([], SCHEMA)
+
+
+def _nearest(data: DataFrame, queries: Column, p: Additive) -> DataFrame:
+    """nearest() of valid vectors of one dimension. The codebooks are fitted in one task on the bounded sample."""
+    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample)
+
+    def run(table: pa.Table) -> bytes:
+        table = table.sort_by("vec_id")
+        return pickle.dumps(train(matrix(table.column("embedding"), len(table.column("embedding")[0]), np.float32), p))
+
+    books = pickle.loads(in_one_task(sample, run))
     reps = distinct(data, p.k + 1)  # one more, as a query's own row may be among them
     index = save(reps.select("vec_id", "embedding").mapInArrow(_encoded(books, p.beam), "vec_id long, codes binary, norm float"), "codes")
     asked = data.where(queries)
-    found = in_blocks(index, asked, _scored(books, p.candidates), "query_id long, vec_id long, near float", p.index_rows, p.query_rows)
+    counts = block_counts(index, asked, p.index_rows, p.query_rows)
+    found = in_blocks(index, asked, _scored(books, p.candidates), "query_id long, vec_id long, near float", counts)
     found = save(best(found, p.candidates, "near", "vec_id").select("query_id", "vec_id"), "candidates")
     pairs = found.join(reps, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")), "query_id")
     exact = pairs.select("query_id", F.explode("ids").alias("vec_id"), distance("asked", "embedding").alias("score")).where("vec_id <> query_id")
