@@ -6,17 +6,19 @@ penalises the squared change of the score, so that a mention of a group as such
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textkit
 from quern.llm.quality import labelled_sample
-from quern.llm.shared import ready, save
+from quern.llm.shared import in_one_task, ready, save
 from quern.llm.textkit import U
 
 # Identity terms by group; a term is swapped for others of its group.
@@ -67,15 +69,17 @@ class Toxicity:
     weights. counterfactual: weight of the squared score change under a swap.
     """
 
-    sample: int = 8_000
-    vocabulary: int = 1_000
+    sample: int = 20_000
+    vocabulary: int = 2_000
     least: int = 8
     ridge: float = 1e-4
     counterfactual: float = 1.0
-    rounds: int = 300
+    rounds: int = 500
     threshold: float = 0.3
 
 
+#: Tells a beginning from a word that is equal to it.
+_STEM = U(0xA5A5A5A5)
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[65:91] = _WORD_BYTE[97:123] = _WORD_BYTE[128:] = True
 
@@ -92,16 +96,15 @@ def word_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, rows = textkit.runs(_WORD_BYTE[data], offsets)
     sums = textkit.prefix(data)
     hashes = textkit.span_hash(sums, starts, ends)
-    stemmed = ~np.isin(hashes, _IDENTITY_HASHES)
     at = np.searchsorted(rows, np.arange(len(offsets)))
     sets = []
     for a, b in zip(at[:-1], at[1:], strict=True):
         own, first = np.unique(hashes[a:b], return_index=True)
-        first = first[stemmed[a:b][first]]
         start, size = starts[a:b][first], (ends[a:b] - starts[a:b])[first]
         for k in STEMS:
             long = start[size >= k]
-            own = np.concatenate([own, textkit.span_hash(sums, long, long + k) ^ U(0xA5A5A5A5)])
+            stem = textkit.span_hash(sums, long, long + k) ^ _STEM
+            own = np.concatenate([own, stem[~np.isin(stem, _IDENTITY_STEMS)]])
         sets.append(np.unique(own))
     return np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets) if sets else np.zeros(0, U)
 
@@ -111,14 +114,40 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return textkit.span_hash(textkit.prefix(data), at[:-1], at[1:])
 
 
-_IDENTITY_HASHES = np.unique(_hash_words(sorted({w for g in IDENTITY for w in g})))
+def _identity_stems() -> np.ndarray:
+    terms = pa.array(sorted({w for g in IDENTITY for w in g}))
+    data, at = textkit.text_bytes(terms)
+    sums, size = textkit.prefix(data), np.diff(at)
+    return np.unique(np.concatenate([textkit.span_hash(sums, at[:-1][size >= k], at[:-1][size >= k] + k) ^ _STEM for k in STEMS]))
+
+
+_IDENTITY_STEMS = _identity_stems()
+
+
+def _lists(rows: np.ndarray, values: pa.Array, n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), values)
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in textkit.slices(batch):
             rows, hashes = word_sets(part.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(part.column("doc_id").to_numpy()[rows]), pa.array(part.column("label").to_numpy()[rows]), pa.array(hashes.view(np.int64))], names=["doc_id", "label", "word"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), _lists(rows, pa.array(hashes.view(np.int64)), len(part))], names=["doc_id", "label", "words"])
+
+
+def _numbered(vocab: np.ndarray):
+    """The words of each document that the vocabulary has, as numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            hashes = lists.flatten().to_numpy().view(U)
+            rows = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+            place = np.minimum(np.searchsorted(vocab, hashes), len(vocab) - 1)
+            hit = vocab[place] == hashes
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), _lists(rows[hit], pa.array(place[hit].astype(np.int32)), len(lists))], names=["doc_id", "label", "numbers"])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -137,28 +166,44 @@ class Model:
         return 1 / (1 + np.exp(-total))
 
 
+def swaps(rows: np.ndarray, words: np.ndarray, n: int, identity: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each group of identity terms (word numbers), the swapped documents counted: terms, alone and both.
+
+    alone[i, j] documents have term i and not j, so swapping i for j takes i's weight and gives j's; both[i, j] have both,
+    so the swap only takes i's.
+    """
+    out = []
+    for terms in identity:
+        has = np.zeros((n, len(terms)))
+        for i, term in enumerate(terms):
+            has[rows[words == term], i] = 1
+        both = has.T @ has
+        alone = np.diag(both)[:, None] - both
+        np.fill_diagonal(both, 0)
+        out.append((terms, alone, both))
+    return out
+
+
 def train(rows: np.ndarray, words: np.ndarray, y: np.ndarray, size: int, identity: list[np.ndarray], p: Toxicity) -> tuple[np.ndarray, float]:
     """Weights of a bag-of-words logistic model and its base.
 
-    rows, words: which document has which word (numbers). identity: for each group, its terms' word numbers. A document
-    with term t of a group changes by weight[t'] - weight[t] when t is swapped for t'; the penalty is the mean square of
-    that over all other terms t' of the group, over the documents that have t.
+    rows, words: which document has which word (numbers). identity: for each group, its terms' word numbers. Every
+    document with a term of a group is swapped to each other term of it; the penalty is the square of the change in its
+    log odds, averaged over the other terms and added up over the terms and documents, by the number of documents.
     """
     n = len(y)
     w, base = np.zeros(size), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))) if n else 0.0
     if not n or y.min() == y.max():
         return w, base
-    has = np.bincount(words, minlength=size)
+    changed = [(t, a / n / (len(t) - 1), b / n / (len(t) - 1)) for t, a, b in swaps(rows, words, n, [g for g in identity if len(g) > 1])]
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, p.rounds + 1):
         prob = 1 / (1 + np.exp(-(base + np.bincount(rows, w[words], n))))
         err = (prob - y) / n
         grad = np.bincount(words, err[rows], size) + p.ridge * w
-        for terms in identity:
-            if len(terms) > 1:
-                apart = w[terms][:, None] - w[terms][None, :]
-                share = has[terms] / n / (len(terms) - 1)
-                grad[terms] += 2 * p.counterfactual * (apart * (share[:, None] + share[None, :])).sum(1)
+        for terms, alone, both in changed:
+            apart = (w[terms][:, None] - w[terms][None, :]) * alone
+            grad[terms] += 2 * p.counterfactual * (apart.sum(1) - apart.sum(0) + w[terms] * both.sum(1))
         g = float(err.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         mb, vb = 0.9 * mb + 0.1 * g, 0.999 * vb + 0.001 * g**2
@@ -168,7 +213,7 @@ def train(rows: np.ndarray, words: np.ndarray, y: np.ndarray, size: int, identit
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Toxicity | None = None) -> Model:
-    """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) -> model, fitted on a bounded sample of the rows in both.
+    """docs (doc_id, text, ...) and labels (doc_id, toxic, ...) -> model, fitted in one task on a bounded sample of the rows in both.
 
     Copies of a text count once. Words are chosen by how surely they tell the classes apart: the z score of the log
     odds of their document counts.
@@ -177,24 +222,25 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity | None = None) -> Model:
     ready(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", p.sample).dropDuplicates(["doc_id"])
     sample = sample.dropDuplicates(["text"])
-    pairs = save(sample.mapInArrow(_word_batches, "doc_id long, label double, word long"), "words")
-    total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    counts = pairs.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("t")).where(F.col("n") >= p.least)
+    sets = save(sample.mapInArrow(_word_batches, "doc_id long, label double, words array<long>"), "words")
+    total, toxic = sets.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    counts = sets.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("t")).where(F.col("n") >= p.least)
     clean = total - toxic
     in_t, in_c = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
     odds = F.log(in_t / (toxic - F.col("t") + 0.5)) - F.log(in_c / (clean - F.col("n") + F.col("t") + 0.5))
     chosen = counts.withColumn("z", F.abs(odds) / F.sqrt(1 / in_t + 1 / in_c)).orderBy(F.desc("z"), "word").limit(p.vocabulary).select("word").toPandas()["word"].to_numpy(np.int64)
     groups = [_hash_words(g).view(np.int64) for g in IDENTITY]
     vocab = np.unique(np.concatenate([chosen, *groups]).view(U))
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(int(x), i) for i, x in enumerate(vocab.view(np.int64))], "word long, number int")
-    rows = pairs.join(F.broadcast(known), "word").select("doc_id", "number").toPandas()
-    texts = pairs.select("doc_id", "label").distinct().orderBy("doc_id").toPandas()
-    at = np.searchsorted(texts["doc_id"].to_numpy(), rows["doc_id"].to_numpy()).astype(np.int32)
-    place = rows["number"].to_numpy(np.int32)
-    del rows
-    w, base = train(at, place, texts["label"].to_numpy(float), len(vocab), [np.searchsorted(vocab, g.view(U)) for g in groups], p)
-    return Model(vocab, w, base)
+    identity = [np.searchsorted(vocab, g.view(U)) for g in groups]
+    numbered = sets.mapInArrow(_numbered(vocab), "doc_id long, label double, numbers array<int>")
+
+    def run(table: pa.Table) -> bytes:
+        table = table.sort_by("doc_id")
+        lists = table.column("numbers").combine_chunks()
+        rows = np.repeat(np.arange(len(table), dtype=np.int32), pc.list_value_length(lists).to_numpy() if len(table) else 0)
+        return pickle.dumps(train(rows, lists.flatten().to_numpy(), table.column("label").to_numpy(), len(vocab), identity, p))
+
+    return Model(vocab, *pickle.loads(in_one_task(numbered, run)))
 
 
 def _score_batches(model: Model):
