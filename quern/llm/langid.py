@@ -6,6 +6,7 @@ all segmentations. A text's likelihood is the product over its units of the forw
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import textkit
 from quern.llm.lattice import Lattice, distinct, units, vocabulary
-from quern.llm.shared import ready
+from quern.llm.shared import in_one_task, ready
 from quern.llm.textkit import U
 
 #: Unit likelihoods that a worker remembers between slices; a full memory is emptied.
@@ -48,11 +49,12 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], langs: list[str], p: LangId) -> tuple[list[str], np.ndarray]:
+def fit(texts: pa.ChunkedArray | pa.Array | list[str], langs: list[str], p: LangId) -> tuple[list[str], np.ndarray]:
     """Languages in order and log probabilities, a row for each piece id and a column for each language."""
     vocab = vocabulary(p.vocabulary)
     names = sorted(set(langs))
-    data, offsets = textkit.text_bytes(pa.array(texts, pa.string()))
+    texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+    data, offsets = textkit.text_bytes(texts.cast(pa.large_string()).combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
     data, starts, ends, rows = units(fold(data), offsets)
     logp = np.full((vocab.size, len(names)), -np.log(vocab.size))
     if not len(starts):
@@ -147,7 +149,7 @@ def training_sample(docs: DataFrame, p: LangId) -> DataFrame:
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, min(1.0, p.docs_per_language / n)).otherwise(share)
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return docs.where(spot < share).limit(3 * p.docs_per_language * max(1, len(counts)))
+    return docs.where(spot < share).orderBy(spot, "doc_id", F.xxhash64("text")).limit(3 * p.docs_per_language * max(1, len(counts)))
 
 
 def identify(docs: DataFrame, labelled: DataFrame, p: LangId, keep: list[str] | None = None) -> DataFrame:
@@ -159,11 +161,11 @@ def identify(docs: DataFrame, labelled: DataFrame, p: LangId, keep: list[str] |
     join; columns of docs named lang_pred or score are not among them.
     """
     ready(docs.sparkSession)
-    sample = training_sample(labelled, p).select("text", "lang").toPandas()
+    learned = in_one_task(training_sample(labelled, p).select("text", "lang"), lambda t: pickle.dumps(fit(t.column("text"), t.column("lang").to_pylist(), p)))
+    names, logp = pickle.loads(learned)
     cols = [c for c in keep if c not in ("lang_pred", "score")] if keep else ["doc_id"]
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")).select(*dict.fromkeys([*cols, "text"]))
-    if not len(sample):
+    if not names:
         return docs.select(*cols, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    names, logp = fit(sample["text"].tolist(), sample["lang"].tolist(), p)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema)
     return docs.mapInArrow(_batches(p.vocabulary, names, logp, cols), f"{schema}, lang_pred string, score double")

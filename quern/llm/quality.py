@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textkit
-from quern.llm.shared import ready, save, small
+from quern.llm.shared import in_one_task, ready, save, small
 from quern.llm.textkit import U, mix
 
 # Byte classes: 0 lower, 1 upper, 2 digit, 3 space, 4 line feed, 5 sentence marks, 6 other ASCII marks, 7 beyond ASCII.
@@ -175,14 +176,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Boosting | None = None) -> Trees:
-    """docs (doc_id, text, ...) and labels (doc_id, quality, ...) -> trees, fitted on a bounded sample of the rows in both."""
+    """docs (doc_id, text, ...) and labels (doc_id, quality, ...) -> trees, fitted in one task on a bounded sample of the rows in both.
+
+    Of several texts of one doc_id the one with the least statistics counts.
+    """
     p = p or Boosting()
     ready(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", p.sample)
-    stats = sample.select("doc_id", "text").mapInArrow(_stat_batches, "doc_id long, stats array<double>").dropDuplicates(["doc_id"])
-    rows = stats.join(sample.select("doc_id", "label").dropDuplicates(["doc_id"]), "doc_id").orderBy("doc_id").select("stats", "label").toPandas()
-    x = np.stack(rows["stats"].to_numpy()) if len(rows) else np.zeros((0, len(STATS)))
-    return grow(x, rows["label"].to_numpy(float), p)
+    stats = sample.select("doc_id", "text").mapInArrow(_stat_batches, "doc_id long, stats array<double>").groupBy("doc_id").agg(F.min("stats").alias("stats"))
+    rows = stats.join(sample.select("doc_id", "label").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "stats", "label")
+
+    def run(table: pa.Table) -> bytes:
+        table = table.sort_by("doc_id")
+        x = table.column("stats").combine_chunks().flatten().to_numpy().reshape(-1, len(STATS)) if len(table) else np.zeros((0, len(STATS)))
+        return pickle.dumps(grow(x, table.column("label").to_numpy().astype(float), p))
+
+    return pickle.loads(in_one_task(rows, run))
 
 
 def score(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> DataFrame:

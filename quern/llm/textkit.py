@@ -47,8 +47,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column, and where each row begins (one more at the end). Null is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """All bytes of a string or binary column, and where each row begins (one more at the end). Null is empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
