@@ -66,11 +66,12 @@ def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
 
     Returns conv_id, branch (rank from 1 by mean score, then smaller leaf), leaf, branch_score, formatted, and loss_spans:
     the code point ranges (start, end) of assistant texts in formatted. branches: how many of each tree are formatted (all
-    if None). msg_id must be unique within conv_id; rows where either is null are left out. Null text, role or score:
+    if None). Rows without conv_id are one conversation, whose conv_id is null; msg_id must be unique within a
+    conversation, and rows where it is null are left out. Null text, role or score:
     empty, empty, 0. An empty text is a turn like any other. Other columns are not read. An empty table gives an empty result.
     """
-    told = messages.where("conv_id is not null and msg_id is not null").select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("msg_id").cast("long").alias("msg_id"), F.col("parent_id").cast("long").alias("parent_id"),
+    told = messages.where("msg_id is not null").select(
+        F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("")).alias("conv_id"), F.col("msg_id").cast("long").alias("msg_id"), F.col("parent_id").cast("long").alias("parent_id"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
     )
     told = save(told, "messages")
@@ -88,7 +89,8 @@ def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
     turns = turns.withColumn("at", F.coalesce(F.sum(size.cast("long")).over(order), F.lit(0).cast("long")) + F.length("opening"))
     turns = turns.groupBy("conv_id", "branch", "leaf", "branch_score").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("k"), "role", F.concat("opening", "body", "closing").alias("turn"), "at", (F.col("at") + F.length("body")).alias("to")))).alias("turns"))
     spans = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["at"].alias("start"), t["to"].alias("end")))
-    return turns.select("conv_id", "branch", "leaf", "branch_score", F.concat_ws("", F.transform("turns", lambda t: t["turn"])).alias("formatted"), spans.alias("loss_spans"))
+    conv_id = F.when(F.col("conv_id") != "", F.col("conv_id").cast("long")).alias("conv_id")
+    return turns.select(conv_id, "branch", "leaf", "branch_score", F.concat_ws("", F.transform("turns", lambda t: t["turn"])).alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

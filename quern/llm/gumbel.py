@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ class Choices:
         self.home = self.last = np.zeros(0, np.int64)
         self.first = np.zeros(1, np.int64)
         self.start = self.end = self.piece = np.zeros(0, np.int32)
-        self.logp, self.cum = np.zeros(0), np.zeros(0)
+        self.logp, self.cum, self.others = np.zeros(0), np.zeros(0), np.zeros(0)
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last node of each unit, after the new ones are added."""
@@ -117,7 +118,13 @@ class Choices:
         total = np.concatenate([[0.0], np.cumsum(np.exp(logp))])
         cum = total[1:] - total[first[start]]
         cum[first[1:][first[1:] > first[:-1]] - 1] = np.inf
+        beside, begin = _segments(first[start], first[start.astype(np.int64) + 1])
+        share = np.exp(logp[beside])
+        share[begin[:-1] + np.arange(len(start)) - first[start]] = 0  # an edge isn't beside itself
+        with np.errstate(divide="ignore"):
+            others = np.log(np.add.reduceat(share, begin[:-1])) if len(start) else np.zeros(0)
         nodes, edges = len(self.first) - 1, len(self.end)
+        self.others = np.concatenate([self.others, others])
         self.first = np.concatenate([self.first, first[1:] + edges])
         self.start, self.end = np.concatenate([self.start, start + np.int32(nodes)]), np.concatenate([self.end, end + np.int32(nodes)])
         self.piece, self.logp, self.cum = np.concatenate([self.piece, piece]), np.concatenate([self.logp, logp]), np.concatenate([self.cum, cum])
@@ -219,7 +226,7 @@ def sample(column: pa.Array, keys: np.ndarray, choices: Choices, p: Gumbel) -> t
                 left[np.arange(len(own)), pick] = 0
                 rest = left.sum(1)
                 with np.errstate(divide="ignore"):
-                    mass = d["before"][c] + np.log(np.where(rest > 1e-12, rest, 0.0))
+                    mass = d["before"][c] + np.log(rest)
                 noise = -np.log(_uniform(key[own], 3, r))
                 d["open"][c] = np.where(mass > _LEAST, mass - np.log(noise + np.exp(np.minimum(mass - best[own], 700))), _GONE)
             spot[go] = spot_of
@@ -249,8 +256,8 @@ def sample(column: pa.Array, keys: np.ndarray, choices: Choices, p: Gumbel) -> t
         owner = np.repeat(np.arange(n), np.diff(begin))
         before = total[:-1] - total[begin[owner]]
         opened = np.full(len(path), _GONE)
-        may = np.flatnonzero((before > _LEAST) & (np.arange(len(path)) - begin[owner] >= from_at[owner]) & (step < -1e-12))
-        mass = before[may] + np.log(-np.expm1(step[may]))
+        may = np.flatnonzero((before > _LEAST) & (np.arange(len(path)) - begin[owner] >= from_at[owner]) & (choices.others[path] > _GONE))
+        mass = before[may] + choices.others[path[may]]
         noise = -np.log(_uniform(mix(key[owner[may]] + U(4 + r)), may - begin[owner[may]]))
         opened[may] = mass - np.log(noise + np.exp(np.minimum(mass - bound[owner[may]], 700)))
         draws.append({"begin": begin, "path": path, "where": where, "before": before, "open": opened, "gone": {}, "popped": np.zeros(len(path), bool), "live": live, "logp": total[begin[1:]] - total[begin[:-1]], "value": bound.copy()})
@@ -317,9 +324,17 @@ def decode_column(samples: DataFrame, path: str) -> DataFrame:
     """samples (ids, ...) with a column `decoded`; null ids decode to null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, at = textkit.text_bytes(pa.array(vocabulary(path).text, pa.large_binary()))
         for batch in batches:
-            out = [None if x is None else decode(x, path) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
+            lists = batch.column("ids")
+            ids = lists.flatten().to_numpy()
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            raw, ends = textkit.gather(pieces, at[:-1][ids], at[1:][ids])
+            edges = ends[np.concatenate([[0], np.cumsum(size)])]
+            begin = np.minimum(edges[:-1] + 1, edges[1:])  # less the space put before it
+            body, to = textkit.gather(raw, begin, edges[1:])
+            text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(to), pa.py_buffer(body)]).cast(pa.large_string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(lists.is_valid(), text, None).cast(pa.string())], names=[*batch.schema.names, "decoded"])
 
     samples = samples.drop("decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema)

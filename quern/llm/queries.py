@@ -20,7 +20,7 @@ def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), lines.EXACT)
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.size("removed_lines").alias("n_removed"), "removed_lines", "removed_for", F.length("text").alias("kept_chars"), F.xxhash64("text").alias("kept_hash"))
 
 
@@ -73,13 +73,13 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(body) + marks)::BIGINT AS formatted_chars
-FROM f WHERE conv_id IS NOT NULL GROUP BY conv_id
+FROM f GROUP BY conv_id
 """
 
 
 def remainder(n: int) -> Column:
-    """crc32 of doc_id as text, modulo n: the folds of the labelled rows."""
-    return F.crc32(F.col("doc_id").cast("string")) % n
+    """crc32 of doc_id as text, modulo n: the folds of the labelled rows. A null doc_id has the remainder -1, so it is not held out; no label goes with it."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

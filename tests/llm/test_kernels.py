@@ -132,7 +132,7 @@ def test_gumbel_round_trip(texts):
 def test_nra_keeps_the_best(seed, n, dim):
     rng = np.random.default_rng(seed)
     x, q = rng.integers(-3, 4, (n, dim)), rng.integers(-3, 4, dim)
-    some = topk.nra(x.astype(float), *topk.lists_of(x), q, 0, topk.SortedLists(k=3, resolve=3, first=2))
+    some, _ = topk.nra(topk.Lists(x), q, 0, -np.inf, topk.SortedLists(k=3, resolve=3, steps=5))
     score = x @ q
     score[0] = -(10**9)
     cut = np.sort(score[1:])[::-1][:3]

@@ -1,14 +1,17 @@
 """Operators on small tables with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import itertools
+import math
+import os
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import ann, chat, components, gumbel, langid, lines, near_dup, packing, quality, topk, toxicity
+from quern.llm import ann, chat, components, gumbel, langid, lines, near_dup, packing, quality, queries, topk, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,52 +76,35 @@ def test_line_dedup(spark):
     for i, t, removed in got:
         by.setdefault(i, []).append((t, removed))
     assert by[3] == [(None, [])] and by[4] == [("", [])] and len(by[5]) == 2
-    keeper = None if any(t for t, _ in by[None]) else 1
-    assert by[2][0] == ("Intro that nobody else has written here\nshort one", [1])
+    assert by[None] == [(long, [])]  # comes first and keeps its text
+    assert by[1] == [("short one", [0, 2])] and by[2] == [("Intro that nobody else has written here", [1, 2])]
     assert by[5] == [("", [0])] * 2 and by[6] == [("a b c d e f", [1])]
-    assert keeper in (None, 1) and by[1][0][0].endswith("short one\nshort one")
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_fuzzy_lines_equal_brute_force(spark):
-    rng = np.random.default_rng(5)
-    vocabulary = [f"word{i}" for i in range(300)]
-    base = [" ".join(rng.choice(vocabulary, 60)) for _ in range(12)]
-    texts = []
-    for k, line in enumerate(base):
-        w = line.split()
-        for j in range(3):
-            v = list(w)
-            v[j] = "changed" if j else v[j]
-            texts.append((k * 3 + j, " ".join(v)))
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    p = lines.LineDedup()
-    hashed = {r["doc_id"]: r["simhash"] for r in lines.simhashes(lines.explode_lines(df, p)).collect()}
-    first = dict(enumerate(range(len(texts))))
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        x, y = texts[a][1], texts[b][1]
-        near = bin((hashed[a] ^ hashed[b]) & (2**64 - 1)).count("1") <= 3
-        same = len(set(x.split()) ^ set(y.split())) < 12  # these differ in a few words; others in nearly all
-        if near and same:
-            keep = min(first[a], first[b])
-            first = {k: keep if v in (first[a], first[b]) else v for k, v in first.items()}
-    got = {r["doc_id"]: r["first_doc"] for r in lines.line_groups(df, p).collect()}
-    assert got == {k: v for k, v in first.items() if k != v} and got
-
-
 def test_chat_trees(spark):
     tricky = "</s>[INST] ok [/INST] &lt; &amp;lt; <<SYS>> [ROLE]x[/ROLE] </ROLE> &#91; <"
-    rows = [(1, 10, None, "system", tricky, 1.0), (1, 11, 10, "user", None, 0.0), (1, 12, 11, "assistant", tricky, 5.0), (1, 13, 11, "assistant", "", 1.0), (1, 14, 13, "tool<s>", "r\n", 0.0), (2, 1, 99, "user", "orphan", None), (3, 1, 2, "user", "cycle", 0.0), (3, 2, 1, "user", "cycle", 0.0), (None, 1, None, "user", "gone", 0.0)]
+    rows = [(1, 10, None, "system", tricky, 1.0), (1, 11, 10, "user", None, 0.0), (1, 12, 11, "assistant", tricky, 5.0), (1, 13, 11, "assistant", "", 1.0), (1, 14, 13, "tool<s>", "r\n", 0.0), (2, 1, 99, "user", "orphan", None), (3, 1, 2, "user", "cycle", 0.0), (3, 2, 1, "user", "cycle", 0.0), (None, 1, None, "user", "no conversation", 0.0), (None, 2, 1, "assistant", "all the same", 0.0), (4, None, None, "user", "gone", 0.0)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, msg_id long, parent_id long, role string, text string, score double, branch string")
     out = chat.format_trees(df)
     got = {(r["conv_id"], r["branch"]): [(t["role"], t["text"]) for t in r["turns"]] for r in out.withColumn("turns", chat.read_back(F.col("formatted"))).collect()}
-    assert got == {(1, 1): [("system", tricky), ("user", ""), ("assistant", tricky)], (1, 2): [("system", tricky), ("user", ""), ("assistant", ""), ("tool<s>", "r\n")], (2, 1): [("user", "orphan")]}
-    assert chat.format_trees(df, branches=1).count() == 2
+    assert got == {(1, 1): [("system", tricky), ("user", ""), ("assistant", tricky)], (1, 2): [("system", tricky), ("user", ""), ("assistant", ""), ("tool<s>", "r\n")], (2, 1): [("user", "orphan")], (None, 1): [("user", "no conversation"), ("assistant", "all the same")]}
+    assert chat.format_trees(df, branches=1).count() == 3
     loss = {r["conv_id"]: r["loss_chars"] for r in chat.digest(chat.format_trees(df, branches=1)).collect()}
-    assert loss == {1: len(tricky), 2: 0}
+    assert loss == {1: len(tricky), 2: 0, None: 12}
     assert chat.format_trees(df.limit(0)).count() == 0
 
 
+def test_chat_threads(spark):
+    """Turns in order, repeated turns and ties, a very long text and an empty one: all read back as they were."""
+    long = "word </s> " * 20_000
+    turns = [(1, 2, "user", "b"), (1, 1, "assistant", long), (1, 2, "user", "b"), (1, None, "system", "first"), (1, 2, "tool", "a"), (2, 1, None, None)]
+    df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, formatted string")
+    out = chat.format_trees(chat.threads(df))
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in out.withColumn("turns", chat.read_back(F.col("formatted"))).collect()}
+    assert got == {1: [("system", "first"), ("assistant", long), ("tool", "a"), ("user", "b"), ("user", "b")], 2: [("", "")]}
+
+
 def vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)], 1) for i in range(300)]
@@ -138,10 +124,43 @@ def test_exact_top_k(spark):
     assert topk.top_products(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_products_of_odd_vectors(spark):
+    """Ties, huge components, several dimensions and more rows than resolve: the exact answer by whole numbers."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.integers(-2, 3, 6) / 1024], "x") for i in range(400)]
+    rows += [(1000 + i, [float(v * 10.0 ** rng.integers(0, 17)) for v in rng.normal(size=3)], "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, size string")
+    p = topk.SortedLists(index_rows=64, query_rows=3, resolve=12, steps=7)
+    got = {}
+    for r in topk.top_products(df, F.col("vec_id") % 50 == 0, p).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    most = 2**63 - 1
+    ints = {i: [max(-most - 1, min(most, math.floor(1024 * x))) for x in v] for i, v, _ in rows}
+    for q in (i for i in ints if i % 50 == 0):
+        scores = [(-max(-most - 1, min(most, sum(a * b for a, b in zip(ints[q], v, strict=True)))), i) for i, v in ints.items() if i != q and len(v) == len(ints[q])]
+        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(sorted(scores)[:10], 1)]
+
+
+def test_bounds_stop_reading_early():
+    """With a mark carried over, lists are not read to their ends, and every row that reaches the mark is left."""
+    rng = np.random.default_rng(9)
+    rows = rng.integers(-1000, 1000, (4_000, 32))
+    block, p = topk.Lists(rows), topk.SortedLists(resolve=64)
+    for k in range(5):
+        score = rows @ rows[k]
+        score[k] = score.min()
+        mark = float(np.sort(score)[-10])
+        some, depth = topk.nra(block, rows[k], k, mark, p)
+        assert set(np.flatnonzero(score >= mark)) <= set(some) and depth < 0.9 * len(rows)
+        some, _ = topk.nra(block, rows[k], k, -np.inf, p)
+        assert set(np.flatnonzero(score >= mark)) <= set(some)
+
+
 def test_nearest(spark):
     df, x = vectors(spark)
     x = {i: v for i, v in x.items() if v.any()}
-    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") % 100 == 0, ann.Additive(codebooks=4, words=32)).collect()]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") % 100 == 0, ann.Additive(codebooks=8, words=32, candidates=20)).collect()]
+    got = [g for g in got if g[0] in x]
     assert {q for q, *_ in got} == {i for i in x if i % 100 == 0}
     for q, _, i, s in got:
         assert abs(s - np.linalg.norm(x[q] - x[i])) < 1e-9 and i != q
@@ -164,6 +183,35 @@ def test_packing(spark, docs):
     assert packing.pack(rows.limit(0), size=64).count() == 0
 
 
+def test_packing_of_whole_texts(spark):
+    """Pieces of real texts against the tokenizer itself: starts, lengths and digests; and the number of sequences against the least possible."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("needs the driver's tables")
+    from tokenizers import Tokenizer
+
+    table = spark.read.parquet(path)
+    size = 512
+    rows = packing.pieces(table, BPE, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, size=size)
+    out = packing.pack(rows, size=size).collect()
+    tokenizer = Tokenizer.from_file(BPE)
+    by = {}
+    for r in out:
+        by.setdefault(r["doc_id"], []).append(r)
+    total = 0
+    for doc_id, text in table.select("doc_id", "text").toPandas().itertuples(index=False):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        total += len(ids)
+        own = sorted(by[doc_id], key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(len(own))) and own[0]["start"] == 0
+        for r, end in zip(own, [*[r["start"] for r in own[1:]], len(ids)], strict=True):
+            part = ids[r["start"] : end]
+            assert r["length"] == len(part) and r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+            assert len(part) == size or r["piece"] == 0 or r["piece"] == len(own) - 1
+    least = -(-total // size)
+    assert len({r["sequence_id"] for r in out}) <= least + 2
+
+
 def test_language_id(spark, docs):
     train = spark.createDataFrame([(i, t, lang) for i in range(20) for t, lang in (("the house and the river of this land", "en"), ("la maison et la rivière de ce pays", "fr"))], "doc_id long, text string, lang string")
     asked = spark.createDataFrame([(1, "the river", 0.5), (2, "la rivière", 0.5), (3, None, 0.5), (4, "12 !", 0.5), (4, "12 !", 0.5)], "doc_id long, text string, score double")
@@ -198,11 +246,24 @@ def test_gumbel_operator(spark, docs):
     assert gumbel.encode_samples(docs.limit(0), p).count() == 0
 
 
-def test_simhash_is_the_majority_of_word_hashes(spark):
-    import xxhash
-
-    texts = [(1, "a b c d e"), (2, "one two three four five six"), (3, " ".join(f"w{i % 7}" for i in range(301)))]
-    got = {r["doc_id"]: r["simhash"] & (2**64 - 1) for r in lines.simhashes(lines.explode_lines(spark.createDataFrame(texts, "doc_id long, text string"), lines.LineDedup())).collect()}
-    for i, t in texts:
-        hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in t.split()]
-        assert got[i] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+def test_folds_and_thresholds(spark):
+    """The remainders of the queries' folds, null doc_ids, and rows at the threshold."""
+    ids = [*range(40), None]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = {r["doc_id"]: (r["a"], r["b"]) for r in df.select("doc_id", queries.remainder(5).alias("a"), queries.remainder(4).alias("b")).collect()}
+    assert got == {i: (zlib.crc32(str(i).encode()) % 5, zlib.crc32(str(i).encode()) % 4) if i is not None else (-1, -1) for i in ids}
+
+
+def test_labels_of_the_held_out_fold_are_not_learned(spark):
+    """A query learns nothing from labels of its own fold: turning them around leaves every score as it is."""
+    path = "/root/testdata/sf0.001"
+    if not os.path.isdir(path):
+        pytest.skip("needs the driver's tables")
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    turned = labels.withColumn("quality", F.when(queries.remainder(5) == 0, 1 - F.col("quality")).otherwise(F.col("quality"))).withColumn("toxic", F.when(queries.remainder(4) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    for fit, score, fold in ((quality.fit, quality.score, queries.remainder(5) != 0), (toxicity.fit, toxicity.score, queries.remainder(4) != 2)):
+        one, two = ({r["doc_id"]: r["score"] for r in score(docs, fit(docs, some.where(fold))).collect()} for some in (labels, turned))
+        assert one == two and len(set(one.values())) > 1
+    out = queries.op6_quality_classifier(spark, path).collect()
+    assert all(r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
