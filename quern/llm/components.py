@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import forget, save, small
+from quern.llm.shared import forget, save, scratch, small
 
 
 #: Members of a bucket that one task tests against the bucket's others; larger buckets are split.
@@ -51,7 +51,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         was = now
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return save(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots), "components")
+    out = save(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots), "components")
+    forget(edges)
+    return out
 
 
 def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], tuple[DataFrame, Near]] | None = None, once: bool = True, crowd: int | None = None, leads: int = 4) -> DataFrame:
@@ -71,11 +73,24 @@ def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify
     lead = kept.where("id = lead").select("key", *[F.col(c).alias(f"{c}_0") for c in payload])
     stars = kept.where("id > lead").join(lead, "key")
     stars = save(stars.where(near(lambda c: F.col(f"{c}_0"), F.col)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = save(verify(stars), "links")
+    with scratch() as made:
+        links = made.keep(save(verify(stars), "links"))
     first = connected_components(links)
     part = kept.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"), *payload)
     mixed = part.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
     part = save(part.join(mixed, "key", "left_semi"), "mixed")
+    forget(kept)
+    with scratch() as made:
+        rest = made.keep(save(_across(part, near, refine, once, crowd, leads).join(stars, ["a", "b"], "left_anti"), "rest"))
+    forget(part)
+    forget(stars)
+    with scratch() as made:
+        more = made.keep(save(verify(rest), "more"))
+    return connected_components(links.union(more))
+
+
+def _across(part: DataFrame, near: Near, refine: Callable | None, once: bool, crowd: int | None, leads: int) -> DataFrame:
+    """Distinct pairs (a, b) of linked_components() across the parts of a bucket."""
     x_of, y_of = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     close = near(x_of, y_of)
     if refine:
@@ -102,7 +117,4 @@ def linked_components(buckets: DataFrame, payload: list[str], near: Near, verify
     y = part.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     rest = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.part") < F.col("y.part")) & close)
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    rest = (rest.union(chosen) if chosen is not None else rest).distinct()
-    rest = save(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = verify(rest)
-    return connected_components(links.union(more))
+    return (rest.union(chosen) if chosen is not None else rest).distinct()

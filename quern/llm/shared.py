@@ -81,7 +81,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     place = f"quern-{name}-{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{place}"
-    df.write.option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes and whole texts
+    df.write.option("parquet.enable.dictionary", "false").option("compression", "zstd").parquet(path)  # mostly hashes and whole texts
     if _open:
         _open[-1].paths.append(place)
     return spark.read.schema(df.schema).parquet(path)
