@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -94,13 +95,23 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, place)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, as a worker that made a model goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_one_task(rows: DataFrame, run: Callable[[pa.Table], bytes]) -> bytes:
     """run over all rows of a table whose size is bounded, in one executor task. The driver gets the resulting bytes only; a lost task is run again."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([run(pa.Table.from_batches(held))], pa.binary())], names=["made"])
+            done = run(pa.Table.from_batches(held))
+            held.clear()
+            _give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.binary())], names=["made"])
 
     made = rows.repartition(1).mapInArrow(task, "made binary").collect()
     return bytes(made[0]["made"]) if made else run(rows.limit(0).toArrow())

@@ -104,7 +104,7 @@ def word_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for k in STEMS:
             long = start[size >= k]
             stem = textkit.span_hash(sums, long, long + k) ^ _STEM
-            own = np.concatenate([own, stem[~np.isin(stem, _IDENTITY_STEMS)]])
+            own = np.concatenate([own, stem[_IDENTITY_STEMS[np.searchsorted(_IDENTITY_STEMS[:-1], stem)] != stem]])
         sets.append(np.unique(own))
     return np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets) if sets else np.zeros(0, U)
 
