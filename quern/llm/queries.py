@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, chat, gumbel, langid, lines, packing, quality, topk, toxicity
+from quern.llm import ann, bpe, chat, codes, gumbel, langid, lines, packing, quality, topk, toxicity
 from quern.llm.near_dup import NearDup, near_duplicates
 from quern.llm.shared import table
 
@@ -133,6 +133,45 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(made, path)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = codes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "").alias("code")
+    return out.select("vec_id", code, "error", "label_error", "codebooks_sha256")
+
+
+def _op12_sql(rounds: int = 4) -> str:
+    """Each round as one view: distances to every entry, the least with its index, and the entries' new components."""
+    views = [
+        """v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """p AS MATERIALIZED (
+  SELECT row_id, vec_id, part, x[part * (len(x) // 4) + 1 : (part + 1) * (len(x) // 4)] AS x FROM v, range(4) t(part))""",
+        """b0 AS MATERIALIZED (
+  SELECT part, entry, x AS c FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id, x) - 1 AS entry FROM p) WHERE entry < 256)""",
+    ]
+    for r in range(rounds + 1):
+        views.append(f"""a{r} AS MATERIALIZED (
+  SELECT row_id, part, min(struct_pack(d := list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, entry := entry)) AS best
+  FROM p JOIN b{r} b USING (part) GROUP BY row_id, part)""")
+        if r < rounds:
+            views.append(f"""b{r + 1} AS MATERIALIZED (
+  WITH s AS (
+    SELECT part, best.entry AS entry, pos, sum(p.x[pos])::BIGINT AS s, count(*) AS n
+    FROM a{r} JOIN p USING (row_id, part), range(1, len(p.x) + 1) t(pos) GROUP BY ALL),
+  m AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS c FROM s GROUP BY ALL)
+  SELECT part, entry, coalesce(m.c, o.c) AS c FROM b{r} o LEFT JOIN m USING (part, entry))""")
+    return f"""WITH {", ".join(views)},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+o AS (
+  SELECT row_id, string_agg(lower(printf('%02x', best.entry::INTEGER)), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY row_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM o JOIN v USING (row_id), h
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op2_line_dedup": op2_line_dedup,
@@ -145,9 +184,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
     "op11_bpe": op11_bpe,
+    "op12_vector_codes": op12_vector_codes,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": OP3_SQL,
     "op5_chat_formatting": OP5_SQL,
     "op7_exact_top_k": OP7_SQL,
+    "op12_vector_codes": OP12_SQL,
 }
