@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, chat, codes, gumbel, langid, lines, packing, quality, topk, toxicity
+from quern.llm import ann, bpe, chat, codes, gumbel, langid, lines, overwrite, packing, quality, topk, toxicity
 from quern.llm.near_dup import NearDup, near_duplicates
-from quern.llm.shared import table
+from quern.llm.shared import shared_dir, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -172,6 +173,18 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 OP12_SQL = _op12_sql()
 
 
+#: 2024-03-20 00:00 UTC in microseconds: rows that arrived before it are early.
+OP13_CUTOFF = 1_710_892_800_000_000
+
+
+def op13_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes its layout into a new folder of spark.checkpoint.dir, which stays."""
+    sales = table(spark, sf_dir, "sales")
+    folder = f"{shared_dir(spark)}/layout-{uuid.uuid4().hex}"
+    done = overwrite.overwrite_late(overwrite.with_copies(sales), OP13_CUTOFF, 1 + sales.count() // 1100, folder)
+    return overwrite.describe(spark, folder, sales, done["start"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_additive_quantisation": op1_additive_quantisation,
     "op2_line_dedup": op2_line_dedup,
@@ -185,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_bpe": op11_bpe,
     "op12_vector_codes": op12_vector_codes,
+    "op13_late_overwrite": op13_late_overwrite,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": OP3_SQL,
