@@ -86,6 +86,23 @@ def similar_images(spark, sf_dir):
     return similarity.similar_images(_images(spark, sf_dir))
 
 
+def _copied(spark, sf_dir):
+    """parts as copies of pictures: six neighbours share a picture, two of them a variant; neighbouring pictures share variants, some have no hash."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    q = F.floor(F.col("id") / 6)
+    p = p.withColumn("q", q).withColumn("variant", F.concat(F.lit("v"), (F.floor(q / 4) * 10 + F.floor(F.col("id") % 6 / 2) + q % 3).cast("string")))
+    luma = F.array(*[(0.5 + (F.col("q") * m % 3) * w).cast("double") for m, w in ((1, 0.02), (1, 0.02), (2, 0.01), (1, 0.03))])
+    return p.select(
+        "id", (1000 + F.col("q") % 5).alias("bytes"), "variant", F.lit(1).alias("frames"), F.lit(100).alias("width"), F.lit(100).alias("height"), luma.alias("luma"), F.array_repeat(F.lit(1.0), 4).alias("alpha"),
+        (F.floor(F.col("q") / 7) % 50 * 5).cast("int").alias("red"), (F.floor(F.col("q") / 350) * 16 % 240).cast("int").alias("green"), F.lit(7).alias("blue"), (F.col("q") % 17 != 0).alias("detailed"), F.when(F.col("q") % 23 != 0, F.concat(F.lit("h"), F.col("q").cast("string"))).alias("sha256"),
+    )
+
+
+def image_groups(spark, sf_dir):
+    """Groups of identical and similar pictures over all copies and variants."""
+    return similarity.image_groups(_copied(spark, sf_dir))
+
+
 def image_comparisons(spark, sf_dir):
     """Each image against the first of its hundred."""
     e = _images(spark, sf_dir)
@@ -161,7 +178,7 @@ def poster_argmax(spark, sf_dir):
     return sequence.poster(e, "user_id", "event_id", "sprites", "ink")
 
 
-QUERIES = {f.__name__: f for f in (identical_groups, identical_pairs, similar_pairs, similar_groups, group_score_range, similar_groups_without_missing, ordered_groups, similar_images, image_comparisons, group_kinds, fingerprint_grid, vector_difference, color_histogram, reuse_keys, reuse_totals, cache_prune, dedup_exclusion_wins, phase_seconds, carry_forward, run_groups, poster_argmax)}
+QUERIES = {f.__name__: f for f in (identical_groups, identical_pairs, similar_pairs, similar_groups, group_score_range, similar_groups_without_missing, ordered_groups, similar_images, image_groups, image_comparisons, group_kinds, fingerprint_grid, vector_difference, color_histogram, reuse_keys, reuse_totals, cache_prune, dedup_exclusion_wins, phase_seconds, carry_forward, run_groups, poster_argmax)}
 
 _DIFF = "list_sum(list_transform(range(1, 65), lambda i: abs(x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE))) / 64"
 _PAIRS = f"""p AS (SELECT x.vec_id AS a, y.vec_id AS b, {_DIFF} AS d FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE {_DIFF} <= {LIMIT})"""
@@ -179,6 +196,18 @@ _IMAGES = """WITH i AS (SELECT p_partkey AS id, 1000 + p_partkey % 13 AS bytes,
   p_partkey % 50 * 5 AS red, p_partkey % 9 * 4 AS green, p_partkey % 17 <> 0 AS detailed, CASE WHEN p_partkey % 31 = 0 THEN 'same' ELSE 'h' || p_partkey END AS sha FROM part)
 """
 _GAPS = "(abs(x.l1 - y.l1) + abs(x.l2 - y.l2) + abs(x.l3 - y.l3) + abs(x.l4 - y.l4)) / 4 {0} AND abs(x.a4 - y.a4) / 4 {1} AND greatest(abs(x.l1 - y.l1), abs(x.l2 - y.l2), abs(x.l3 - y.l3), abs(x.l4 - y.l4), abs(x.a4 - y.a4)) {2}"
+_COPIED = """WITH RECURSIVE i AS (SELECT p_partkey AS id, p_partkey // 6 AS q FROM part),
+e AS (SELECT id, q, 1000 + q % 5 AS bytes, q // 4 * 10 + id % 6 // 2 + q % 3 AS variant, 0.5::DOUBLE + (q % 3) * 0.02::DOUBLE AS l1, 0.5::DOUBLE + (q * 2 % 3) * 0.01::DOUBLE AS l3, 0.5::DOUBLE + (q % 3) * 0.03::DOUBLE AS l4,
+  q // 7 % 50 * 5 AS red, q // 350 * 16 % 240 AS green, q % 17 <> 0 AS detailed, CASE WHEN q % 23 <> 0 THEN q END AS sha FROM i),
+o AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, id) AS k FROM e),
+p AS MATERIALIZED (SELECT x.k AS a, y.k AS b FROM o x JOIN o y ON x.k < y.k AND x.variant <> y.variant AND (x.sha = y.sha OR (x.detailed AND y.detailed AND abs(x.red - y.red) <= 14 AND abs(x.green - y.green) <= 14
+  AND (2 * abs(x.l1 - y.l1) + abs(x.l3 - y.l3) + abs(x.l4 - y.l4)) / 4 <= 0.022::DOUBLE))),
+w AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS refs UNION ALL
+  SELECT o.k, CASE WHEN len(list_intersect(w.refs, coalesce((SELECT list(a) FROM p WHERE b = o.k), []))) > 0 THEN w.refs ELSE list_append(w.refs, o.k) END FROM w JOIN o ON o.k = w.k + 1),
+refs AS (SELECT unnest(refs) AS k FROM (SELECT refs FROM w ORDER BY k DESC LIMIT 1)),
+m AS (SELECT b AS k, min(a) AS r FROM p WHERE a IN (SELECT k FROM refs) AND b NOT IN (SELECT k FROM refs) GROUP BY 1),
+g AS (SELECT k, r FROM m UNION SELECT r, r FROM m)
+"""
 _SHA = "sha256(text)"
 ORACLE_SQL = {
     "identical_groups": f"SELECT arg_min(doc_id, (-n_chars, doc_id)) AS reference, count(*)::BIGINT AS members, (sum(n_chars) - max(n_chars))::BIGINT AS redundant_bytes FROM documents GROUP BY {_SHA} HAVING count(*) > 1",
@@ -195,6 +224,7 @@ ORACLE_SQL = {
     "ordered_groups": _GROUPS + "SELECT reference, string_agg(id::VARCHAR, ',' ORDER BY id % 7 DESC, id) AS members, coalesce(sum(100 + id % 7) FILTER (id <> reference), 0)::BIGINT AS redundant_bytes FROM g GROUP BY 1",
     "similar_images": _IMAGES + """SELECT x.id AS a, y.id AS b FROM i x JOIN i y ON (x.bytes > y.bytes OR (x.bytes = y.bytes AND x.id < y.id)) AND x.variant <> y.variant AND abs(x.red - y.red) <= 14 AND abs(x.green - y.green) <= 14
       AND abs(x.aspect - y.aspect) <= 0.03::DOUBLE * greatest(x.aspect, y.aspect) WHERE x.frames = 1 AND y.frames = 1 AND x.detailed AND y.detailed AND """ + _GAPS.format("<= 0.022::DOUBLE", "<= 0.03::DOUBLE", "<= 0.16::DOUBLE"),
+    "image_groups": _COPIED + "SELECT x.id, y.id AS reference FROM g JOIN o x ON x.k = g.k JOIN o y ON y.k = g.r",
     "image_comparisons": _IMAGES + """, c AS (SELECT r.id AS reference, x.id, x.sha = r.sha AS identical, (abs(x.l1 - r.l1) + abs(x.l2 - r.l2) + abs(x.l3 - r.l3) + abs(x.l4 - r.l4)) / 4 AS brightness, abs(x.a4 - r.a4) / 4 AS opacity,
       greatest(abs(x.red - r.red), abs(x.green - r.green)) / 255.0::DOUBLE AS color, greatest(abs(x.l1 - r.l1), abs(x.l2 - r.l2), abs(x.l3 - r.l3), abs(x.l4 - r.l4), abs(x.a4 - r.a4)) AS peak FROM i x JOIN i r ON r.id = greatest(x.id // 100 * 100, 1))
       SELECT reference, id, identical, round(brightness, 6) AS brightness, round(opacity, 6) AS opacity, round(color, 6) AS color, round(peak, 6) AS peak, round(CASE WHEN identical THEN 100 ELSE least(greatest(100 * (1 - greatest(brightness, opacity, color)), 0), 99.9::DOUBLE) END, 6) AS score FROM c""",
