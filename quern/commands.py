@@ -11,10 +11,17 @@ from quern.sources import l10n, zipdir
 from quern.sources.tree import TreeSource
 
 
-def tree(spark: SparkSession, root: str, include_ignored: bool = False) -> DataFrame:
-    """Files of a project: path, bytes, header, content."""
+def tree(spark: SparkSession, root: str, include_ignored: bool = False, links: bool = False) -> DataFrame:
+    """Files of a project: path, entry, bytes, header, content; with links, symlinks and unreadable entries too."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("quern_tree").option("include_ignored", str(include_ignored).lower()).load(root)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("quern_tree").options(include_ignored=str(include_ignored).lower(), links=str(links).lower(), push_filters=push).load(root)
+
+
+def catalogs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The images that a project's asset catalogs name, and what is wrong with catalogs."""
+    files = tree(spark, root, links=True)
+    return inventory.renditions(files), inventory.catalog_diagnostics(files)
 
 
 def scan(spark: SparkSession, root: str, include_ignored: bool = False) -> DataFrame:

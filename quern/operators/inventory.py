@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import classify
 from quern.operators.usage import file_name
+from quern.sources.tree import DEPENDENCIES, EXCLUDED
 
 # Directories whose files count as resources whatever their names; formats that are looked into beside those that can be made smaller.
 RESOURCE_DIRECTORIES = ["resources", "resource", "assets", "res"]
@@ -26,36 +27,73 @@ def _has_extension(path: Column, ext: str) -> Column:
     return F.exists(_parts(path), lambda p: p.rlike(rf"[^/]\.{ext}$"))
 
 
+def catalog_of(path: Column) -> Column:
+    """The outermost asset catalog that a path lies in; null outside of catalogs, and where a folder above is never entered."""
+    parts = _parts(path)
+    inside = F.slice(parts, 1, F.size(parts) - 1)
+    first = F.array_position(F.transform(inside, lambda p: p.rlike(r"[^/]\.xcassets$")), True)
+    above = F.slice(inside, 1, F.greatest(first - 1, F.lit(0)).cast("int"))
+    barred = F.exists(above, lambda p: p.isin(sorted(EXCLUDED | DEPENDENCIES)))
+    return F.when((first > 0) & ~barred, F.array_join(F.slice(parts, 1, first.cast("int")), "/"))
+
+
+def catalogs(files: DataFrame) -> DataFrame:
+    """(catalog, entries, refused): every asset catalog, with how many entries are in it.
+
+    A catalog with a symlink or something unreadable anywhere below is refused whole, as parsing it might leave the tree.
+    files may have a column entry (file, symlink, unreadable); without it all are files.
+    """
+    odd = F.col("entry") != "file" if "entry" in files.columns else F.lit(False)
+    return files.select(catalog_of(F.col("path")).alias("catalog"), odd.alias("odd")).where("catalog is not null").groupBy("catalog").agg(F.count("*").alias("entries"), F.bool_or("odd").alias("refused"))
+
+
+def _sets(files: DataFrame) -> DataFrame:
+    """(contents_path, folder, contents_sha256, images) of the sets of catalogs that are not refused."""
+    plain = files.where("entry = 'file'") if "entry" in files.columns else files
+    refused = catalogs(files).where("refused").select("catalog")
+    sets = plain.where(file_name(F.col("path")) == "Contents.json").withColumn("catalog", catalog_of(F.col("path"))).where("catalog is not null").join(refused, "catalog", "left_anti")
+    return sets.select(F.col("path").alias("contents_path"), classify.parent(F.col("path")).alias("folder"), F.sha2("content", 256).alias("contents_sha256"), F.from_json(F.col("content").cast("string"), CONTENTS)["images"].alias("images"))
+
+
+def _plain_name(name: Column) -> Column:
+    return (name != "") & ~name.isin(".", "..") & ~name.rlike(r"[/\\:\x00-\x1F]")
+
+
 def renditions(files: DataFrame) -> DataFrame:
     """Images that the sets of asset catalogs name: (path, bytes, eligible, reason, contents_path, contents_sha256), one row a path.
 
-    A set is a folder inside *.xcassets with a Contents.json; its images must be plain file names of files that are there.
+    A set is a folder of a catalog (see catalog_of() and catalogs()) with a Contents.json; its images must be plain file names of files that are there.
     App icons, sets with resizing and images other than PNG are not eligible. Where several renditions use one file, the
     first that is not eligible counts, else the last, in order of set and place.
     """
-    sets = files.where((file_name(F.col("path")) == "Contents.json") & _has_extension(F.col("path"), "xcassets"))
-    folder = classify.parent(F.col("path"))
-    images = F.from_json(F.col("content").cast("string"), CONTENTS)["images"]
-    sets = sets.select(F.col("path").alias("contents_path"), folder.alias("folder"), F.sha2("content", 256).alias("contents_sha256"), images.alias("images"))
     special = F.when(F.col("folder").rlike(r"\.appiconset$"), "app_icon").when(F.exists("images", lambda i: i["resizing"].isNotNull()), "resizing")
-    named = sets.select("contents_path", "folder", "contents_sha256", special.alias("special"), F.posexplode("images").alias("place", "image")).where("image.filename is not null")
+    named = _sets(files).select("contents_path", "folder", "contents_sha256", special.alias("special"), F.posexplode("images").alias("place", "image")).where("image.filename is not null")
     name = F.col("image.filename")
-    safe = (name != "") & ~name.isin(".", "..") & ~name.rlike(r"[/\\:\x00-\x1F]")
     reason = F.coalesce("special", F.when(classify.extension_of(name) != "png", "unsupported_format"))
-    rows = named.where(safe).select(F.concat_ws("/", "folder", name).alias("path"), reason.isNull().alias("eligible"), reason.alias("reason"), "contents_path", "contents_sha256", "place")
+    rows = named.where(_plain_name(name)).select(F.concat_ws("/", "folder", name).alias("path"), reason.isNull().alias("eligible"), reason.alias("reason"), "contents_path", "contents_sha256", "place")
     spot = F.struct(F.split("contents_path", "/").alias("at"), "place")
     picked = rows.groupBy("path").agg(F.min_by(F.struct("eligible", "reason", "contents_path", "contents_sha256"), F.when(~F.col("eligible"), spot)).alias("bad"), F.max_by(F.struct("eligible", "reason", "contents_path", "contents_sha256"), spot).alias("last"))
-    return picked.select("path", F.coalesce("bad", "last").alias("r")).join(files.select("path", "bytes"), "path").select("path", "bytes", "r.*")
+    there = files.where("entry = 'file'") if "entry" in files.columns else files
+    return picked.select("path", F.coalesce("bad", "last").alias("r")).join(there.select("path", "bytes"), "path").select("path", "bytes", "r.*")
 
 
 def unsafe_renditions(files: DataFrame) -> DataFrame:
     """(contents_path, filename): images of catalog sets that are no plain file names, or whose files are not there."""
-    sets = files.where((file_name(F.col("path")) == "Contents.json") & _has_extension(F.col("path"), "xcassets"))
-    named = sets.select(F.col("path").alias("contents_path"), F.explode(F.from_json(F.col("content").cast("string"), CONTENTS)["images"]).alias("image")).where("image.filename is not null").select("contents_path", "image.filename")
+    named = _sets(files).select("contents_path", F.explode("images").alias("image")).where("image.filename is not null").select("contents_path", "image.filename")
     known = renditions(files).select("path")
     return named.withColumn("path", F.concat_ws("/", classify.parent(F.col("contents_path")), "filename")).join(known, "path", "left_anti").select("contents_path", "filename")
 
 
+def catalog_diagnostics(files: DataFrame) -> DataFrame:
+    """(path, problem) of a catalog scan: refused catalogs, sets without readable contents, images with unsafe names, images that are not there."""
+    refused = catalogs(files).where("refused").select(F.col("catalog").alias("path"), F.lit("symlinks_or_unreadable_entries").alias("problem"))
+    broken = _sets(files).where("images is null and contents_sha256 is null").select(F.col("contents_path").alias("path"), F.lit("unreadable_contents").alias("problem"))
+    odd = unsafe_renditions(files)
+    name = F.col("filename")
+    problem = F.when(_plain_name(name), "rendition_not_found").otherwise("unsafe_rendition_filename")
+    return refused.union(broken).union(odd.select(F.concat_ws("/", classify.parent(F.col("contents_path")), name).alias("path"), problem.alias("problem")))
+
+
 def can_optimize(kind: Column, fmt: Column) -> Column:
     return ((kind == "image") & fmt.isin(DECODABLE)) | ((kind == "animation") & (fmt == "svga")) | ((kind == "archive") & (fmt == "zip"))
 

@@ -1,8 +1,11 @@
-"""A Python data source that reads a directory tree: every regular file, hidden and empty ones too, symlinks skipped.
+"""A Python data source that reads a directory tree: every regular file, hidden and empty ones too, symlinks not followed.
 
 spark.dataSource.register(TreeSource); spark.read.format("quern_tree").option("include_ignored", "true").load(root)
-gives path, bytes, header (first 512 bytes) and content (up to max_bytes, else null). The root must be on a file system
-that all executors mount. Planning lists names only; files are read by the tasks.
+gives path, entry, bytes, header (first 512 bytes) and content (up to max_bytes, else null). The root must be on a file
+system that all executors mount. Planning names folders of the upper levels only, about `splits` of them; the tasks walk
+what is below, apply ignore rules, ask git for tracked files of their folders, and read. With `links`, symlinks and what
+can't be read are rows too (entry: symlink, unreadable). Tests on path (equal, in, prefix, suffix) are applied before a
+file is opened, and a prefix before its folder is listed, with `push_filters`, which needs spark.sql.python.filterPushdown.enabled.
 """
 
 from __future__ import annotations
@@ -10,15 +13,15 @@ from __future__ import annotations
 import os
 import re
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith
 from pyspark.sql.types import StructType
 
 # Directories that are never entered, and those that only a catalog scan leaves out.
 EXCLUDED = {".git", ".worktrees", ".worktree", ".build", ".swiftpm", ".quern", "target", "build", "DerivedData", ".github", ".codex", ".claude", ".agents", ".idea", ".vscode"}
 DEPENDENCIES = {"Pods", "Carthage", "node_modules"}
-HEADER, MAX_BYTES, PER_PARTITION = 512, 64 << 20, 500
+HEADER, MAX_BYTES, SPLITS = 512, 64 << 20, 256
 
 
 class Ignore:
@@ -74,10 +77,10 @@ def _git(root: str, *args: str) -> str | None:
     return done.stdout.decode(errors="surrogateescape") if done.returncode == 0 else None
 
 
-def tracked(root: str) -> set[str]:
-    """Files that git tracks, those of submodules too, which count even when ignored; none below a folder that is never entered."""
+def tracked(root: str, below: str = "") -> set[str]:
+    """Files that git tracks in a folder, those of submodules too, which count even when ignored; none below a folder that is never entered."""
     prefix = _git(root, "rev-parse", "--show-prefix")
-    listed = _git(root, "ls-files", "--cached", "--recurse-submodules", "--full-name", "-z", "--", ".") if prefix is not None else None
+    listed = _git(root, "ls-files", "--cached", "--recurse-submodules", "--full-name", "-z", "--", f":(literal){below}" if below else ".") if prefix is not None else None
     prefix = (prefix or "").rstrip("\r\n")
     names = [n[len(prefix) :] for n in (listed or "").split("\0") if n and n.startswith(prefix)]
     return {n for n in names if not EXCLUDED & set(n.split("/")[:-1]) and not {"", ".", ".."} & set(n.split("/"))}
@@ -109,61 +112,138 @@ def parent_rules(root: str) -> list[tuple[str, Ignore]]:
     return out[::-1]
 
 
-def walk(root: str, include_ignored: bool = False) -> list[str]:
-    """Relative paths of a tree's files, in order of their parts."""
-    found: list[str] = []
-    known = set() if include_ignored else tracked(root)
-    above = {"/".join(k.split("/")[:n]) for k in known for n in range(1, k.count("/") + 1)}
-    outer = [] if include_ignored else parent_rules(root)
-    first = [] if include_ignored else [("", r) for r in global_rules(root) + _read_rules(os.path.join(root, ".git", "info", "exclude"))]
-
-    def ignored(path: str, is_dir: bool, rules: list[tuple[str, Ignore]]) -> bool:
-        said = [ignore.verdict(f"{inside}/{path}", is_dir) for inside, ignore in outer]
-        said = [ignore.verdict(path, is_dir) for _, ignore in first] + said
+class Tree:
+    """What is in a tree, folder by folder."""
+
+    def __init__(self, root: str, include_ignored: bool = False):
+        self.root, self.include = root, include_ignored
+        self.outer = [] if include_ignored else parent_rules(root)
+        self.first = [] if include_ignored else [("", r) for r in global_rules(root) + _read_rules(os.path.join(root, ".git", "info", "exclude"))]
+
+    def _rules(self, folder: str) -> list[tuple[str, Ignore]]:
+        """Rules of a folder and those above it, the nearest last."""
+        chain = [""] + ["/".join(folder.split("/")[: n + 1]) for n in range(folder.count("/") + 1)] * bool(folder)
+        return [] if self.include else [(f, r) for f in chain for r in _read_rules(os.path.join(self.root, f, ".gitignore"))]
+
+    def _ignored(self, path: str, is_dir: bool, rules: list[tuple[str, Ignore]]) -> bool:
+        said = [ignore.verdict(path, is_dir) for _, ignore in self.first]
+        said += [ignore.verdict(f"{inside}/{path}", is_dir) for inside, ignore in self.outer]
         said += [ignore.verdict(path[len(base) + 1 :] if base else path, is_dir) for base, ignore in rules]
         return next((v for v in reversed(said) if v is not None), False)
 
-    def visit(folder: str, rules: list[tuple[str, Ignore]]) -> None:
-        rules = rules if include_ignored else rules + [(folder, r) for r in _read_rules(os.path.join(root, folder, ".gitignore"))]
-        for entry in sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name):
-            path = f"{folder}/{entry.name}" if folder else entry.name
-            if entry.is_symlink():
+    def _entered(self, folder: str, known: set[str]) -> bool:
+        """Whether a walk from the root comes to this folder: none on the way is left out, unless git tracks something below."""
+        parts = folder.split("/") if folder else []
+        for n in range(1, len(parts) + 1):
+            here = "/".join(parts[:n])
+            if parts[n - 1] in EXCLUDED or os.path.islink(os.path.join(self.root, here)):
+                return False
+            if not self.include and self._ignored(here, True, self._rules("/".join(parts[: n - 1]))) and not any(k.startswith(here + "/") for k in known):
+                return False
+        return True
+
+    def entries(self, folder: str, deep: bool) -> Iterator[tuple[str, str]]:
+        """(path, kind) of a folder's own entries, and with deep of all below it. Nothing if a walk from the root would not come here."""
+        known = set() if self.include else tracked(self.root, folder)
+        if not self._entered(folder, known):
+            return
+        above = {"/".join(k.split("/")[:n]) for k in known for n in range(1, k.count("/") + 1)}
+        stack = [(folder, self._rules(folder))]
+        while stack:
+            here, rules = stack.pop()
+            try:
+                found = sorted(os.scandir(os.path.join(self.root, here)), key=lambda e: e.name)
+            except OSError:
+                yield here, "unreadable"
                 continue
-            if entry.is_dir():
-                if entry.name not in EXCLUDED and (include_ignored or not ignored(path, True, rules) or path in above):
-                    visit(path, rules)
-            elif entry.is_file() and (include_ignored or path in known or not ignored(path, False, rules)):
-                found.append(path)
+            for entry in found:
+                path = f"{here}/{entry.name}" if here else entry.name
+                if entry.is_symlink():
+                    yield path, "symlink"
+                elif entry.is_dir(follow_symlinks=False):
+                    if deep and entry.name not in EXCLUDED and (self.include or not self._ignored(path, True, rules) or path in above):
+                        own = [] if self.include else [(path, r) for r in _read_rules(os.path.join(self.root, path, ".gitignore"))]
+                        stack.append((path, rules + own))
+                elif entry.is_file() and (self.include or path in known or not self._ignored(path, False, rules)):
+                    yield path, "file"
+
+    def units(self, splits: int) -> list[tuple[str, bool]]:
+        """(folder, deep) that make up the tree: levels are opened until there are `splits` folders, or four levels."""
+        done, level = [], [""]
+        for _ in range(4):
+            if len(done) + len(level) >= splits or not level:
+                break
+            below = []
+            for folder in level:
+                done.append((folder, False))
+                try:
+                    below += [f"{folder}/{e.name}" if folder else e.name for e in os.scandir(os.path.join(self.root, folder)) if e.is_dir(follow_symlinks=False) and e.name not in EXCLUDED]
+                except OSError:
+                    pass  # its task says so
+            level = below
+        return done + [(folder, True) for folder in level]
+
 
-    visit("", [])
-    return sorted(found, key=lambda p: p.split("/"))
+def walk(root: str, include_ignored: bool = False) -> list[str]:
+    """Relative paths of a small tree's files, in order of their parts, on this machine."""
+    return sorted((p for p, kind in Tree(root, include_ignored).entries("", True) if kind == "file"), key=lambda p: p.split("/"))
 
 
-class _Files(InputPartition):
-    def __init__(self, names: list[str]):
-        self.names = names
+class _Units(InputPartition):
+    def __init__(self, units: list[tuple[str, bool]]):
+        self.units = units
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root = options["path"]
-        self.include = str(options.get("include_ignored", "false")).lower() == "true"
+        said = lambda name: str(options.get(name, "false")).lower() == "true"
+        self.root, self.include, self.links = options["path"], said("include_ignored"), said("links")
         self.most = int(options.get("max_bytes", MAX_BYTES))
-
-    def partitions(self) -> list[_Files]:
-        names = walk(self.root, self.include)
-        return [_Files(names[i : i + PER_PARTITION]) for i in range(0, len(names), PER_PARTITION)] or [_Files([])]
-
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for name in partition.names:
-            path = os.path.join(self.root, name)
-            if os.path.islink(path):
-                continue
-            size = os.path.getsize(path)
-            with open(path, "rb") as f:
-                content = f.read() if size <= self.most else None
-                header = content[:HEADER] if content is not None else f.read(HEADER)
-            yield name, size, header, content
+        self.splits = int(options.get("splits", SPLITS))
+        self.tests: list[tuple[str, object]] = []
+
+    def _wanted(self, path: str) -> bool:
+        says = {"EqualTo": lambda v: path == v, "In": lambda v: path in v, "StringStartsWith": path.startswith, "StringEndsWith": path.endswith}
+        return all(says[name](value) for name, value in self.tests)
+
+    def _reaches(self, folder: str, deep: bool) -> bool:
+        """Whether a folder can hold a path with every prefix asked for."""
+        inside = f"{folder}/" if folder else ""
+        heads = [v for name, v in self.tests if name in ("StringStartsWith", "EqualTo")]
+        return all(inside.startswith(v) or v.startswith(inside) for v in heads)
+
+    def partitions(self) -> list[_Units]:
+        units = [u for u in Tree(self.root, True).units(self.splits) if self._reaches(*u)]
+        count = min(len(units), self.splits) or 1
+        return [_Units(units[i::count]) for i in range(count)]
+
+    def read(self, partition: _Units) -> Iterator[tuple]:
+        tree = Tree(self.root, self.include)
+        for folder, deep in partition.units:
+            for name, kind in tree.entries(folder, deep):
+                if not self._wanted(name) or kind != "file" and not self.links:
+                    continue
+                yield self._row(name) if kind == "file" else (name, kind, None, None, None)
+
+    def _row(self, name: str) -> tuple:
+        try:
+            fd = os.open(os.path.join(self.root, name), os.O_RDONLY | os.O_NOFOLLOW)
+        except OSError:
+            return name, "unreadable", None, None, None
+        with open(fd, "rb") as f:
+            size = os.fstat(fd).st_size
+            content = f.read() if size <= self.most else None
+            header = content[:HEADER] if content is not None else f.read(HEADER)
+        return name, "file", size, header, content
+
+
+class _FilteringReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) == ("path",) and isinstance(f, (EqualTo, In, StringStartsWith, StringEndsWith)):
+                self.tests.append((type(f).__name__, f.value))
+            else:
+                yield f
 
 
 class TreeSource(DataSource):
@@ -172,7 +252,8 @@ class TreeSource(DataSource):
         return "quern_tree"
 
     def schema(self) -> str:
-        return "path string, bytes bigint, header binary, content binary"
+        return "path string, entry string, bytes bigint, header binary, content binary"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        options = dict(self.options)
+        return (_FilteringReader if str(options.get("push_filters", "false")).lower() == "true" else _Reader)(options)

@@ -40,6 +40,20 @@ def test_scan_and_usage(spark, tmp_path):
     assert commands.min_sdk(spark, str(tmp_path)).first()["level"] == 24
 
 
+def test_catalogs_by_their_own_rules(spark, tmp_path):
+    one = b'{"images": [{"filename": "a.png"}, {"filename": "../x.png"}, {"filename": "gone.png"}, {"idiom": "x"}]}'
+    for where in ("App/A.xcassets/s.imageset", "Pods/P.xcassets/s.imageset", "node_modules/m/N.xcassets/s.imageset", "App/B.xcassets/s.imageset", "App/C.xcassets/group/Inner.xcassets/s.imageset"):
+        put(tmp_path, f"{where}/Contents.json", one)
+        put(tmp_path, f"{where}/a.png")
+    (tmp_path / "App/B.xcassets/link").symlink_to(tmp_path)
+    found, wrong = commands.catalogs(spark, str(tmp_path))
+    assert sorted(r["path"] for r in found.collect()) == ["App/A.xcassets/s.imageset/a.png", "App/C.xcassets/group/Inner.xcassets/s.imageset/a.png"]
+    assert sorted((r["path"], r["problem"]) for r in wrong.collect()) == [
+        ("App/A.xcassets/s.imageset/../x.png", "unsafe_rendition_filename"), ("App/A.xcassets/s.imageset/gone.png", "rendition_not_found"), ("App/B.xcassets", "symlinks_or_unreadable_entries"),
+        ("App/C.xcassets/group/Inner.xcassets/s.imageset/../x.png", "unsafe_rendition_filename"), ("App/C.xcassets/group/Inner.xcassets/s.imageset/gone.png", "rendition_not_found"),
+    ]
+
+
 def test_ignore_rules_of_parents_and_tracked_files(spark, tmp_path):
     from quern.sources import tree
 

@@ -34,6 +34,44 @@ def test_tree_source(spark, tmp_path):
     assert order.index("a/c") < order.index("a.b/c")
 
 
+def test_tree_is_walked_by_the_tasks(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    for i in range(120):
+        put(root, f"d{i % 12}/e{i % 5}/f{i}.{'png' if i % 2 else 'txt'}")
+    put(root, ".gitignore", b"d3/\n")
+    put(root, "d4/.gitignore", b"*.txt\n")
+    put(root, "d5/e0/deep/er/x.png")
+    os.symlink(root, os.path.join(root, "d6", "loop"))
+    spark.dataSource.register(tree.TreeSource)
+    for splits in (1, 7, 40, 500):
+        df = spark.read.format("quern_tree").option("splits", splits).load(root)
+        assert sorted((r["path"] for r in df.collect()), key=lambda p: p.split("/")) == tree.walk(root)
+        assert df.rdd.getNumPartitions() <= max(splits, 1)
+    units = tree.Tree(root).units(40)
+    assert not any(u[0].endswith((".png", ".txt")) for u in units) and len({u[0] for u in units}) == len(units)
+    linked = spark.read.format("quern_tree").option("links", "true").load(root)
+    assert [(r["path"], r["entry"]) for r in linked.where("entry <> 'file'").collect()] == [("d6/loop", "symlink")]
+    reader = tree._FilteringReader({"path": root})
+    left = list(reader.pushFilters([tree.StringStartsWith(("path",), "d5/e0/"), tree.StringEndsWith(("path",), ".png"), tree.EqualTo(("bytes",), 3)]))
+    assert len(left) == 1
+    parts = reader.partitions()
+    assert {u[0].split("/")[0] for p in parts for u in p.units} <= {"", "d5"}
+    got = sorted(r[0] for p in parts for r in reader.read(p))
+    assert got == sorted(p for p in tree.walk(root) if p.startswith("d5/e0/") and p.endswith(".png")) and got
+
+
+def test_pushed_filters_give_the_same_rows(spark, tmp_path):
+    for i in range(20):
+        put(str(tmp_path), f"d{i % 4}/f{i}.png")
+    spark.dataSource.register(tree.TreeSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("quern_tree").option("push_filters", "true").load(str(tmp_path))
+        assert df.where("path like 'd1/%' and path like '%5.png'").count() == 1 and df.where("path in ('d0/f4.png', 'no')").count() == 1
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
 def package(entries):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
