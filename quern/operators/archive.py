@@ -35,3 +35,46 @@ def entry_filter(entries: DataFrame, query: str = "", fmt: str | None = None) ->
     """Entries (path, format, ...) whose path has the query in it, in any case, and that are of the format, if one is given."""
     out = entries.where(F.lower("path").contains(query.strip().lower()))
     return out.where(F.col("format") == fmt) if fmt else out
+
+
+def compare_archives(before: DataFrame, after: DataFrame, contracts: DataFrame | None = None, pictures: DataFrame | None = None) -> DataFrame:
+    """Whether archives were rewritten with nothing but their pictures' encoding changed: (archive, verdict, position).
+
+    before, after: (archive, position, comment, meta, sha256, png, metadata, integrity): an entry's place, its archive's
+    comment, what is compared as it is (a struct or string), its payload's hash, whether that is a PNG, whether the entry
+    is metadata, and whether its JSON holds hashes of others. contracts (archive): archives that only their publisher may
+    change. pictures (sha256, other, same): payloads that were decoded and compared, each pair of contents once; see
+    changed_pictures(), which gives the pairs to decode. One that is missing there counts as changed.
+
+    verdict is null for a sound archive, else the first thing wrong: the contract, the structure (a place that is missing or
+    taken twice, another comment, one side missing), then by position the entry's metadata, a hash contract, a payload
+    that is no picture, pixels. Sides meet in an outer join on archive and position, by hashes; no payload is shuffled.
+    """
+    rows = lambda df, n: df.where("archive is not null").groupBy("archive", "position").agg(F.count("*").alias(f"n_{n}"), F.first(F.struct("comment", "meta", "sha256", "png", "metadata", "integrity")).alias(n))
+    both = rows(before, "a").join(rows(after, "b"), ["archive", "position"], "full")
+    if pictures is None:
+        both = both.withColumn("same", F.lit(False))
+    else:
+        known = pictures.select(F.col("sha256").alias("_a"), F.col("other").alias("_b"), "same").dropDuplicates(["_a", "_b"])
+        both = both.join(known, (F.col("a.sha256") == F.col("_a")) & (F.col("b.sha256") == F.col("_b")), "left")
+    torn = F.col("a").isNull() | F.col("b").isNull() | (F.coalesce("n_a", F.lit(0)) != 1) | (F.coalesce("n_b", F.lit(0)) != 1) | ~F.col("a.comment").eqNullSafe(F.col("b.comment"))
+    differs = ~F.col("a.sha256").eqNullSafe(F.col("b.sha256"))
+    picture = F.coalesce(F.col("a.png") & ~F.col("a.metadata"), F.lit(False))
+    fault = (
+        F.when(~F.col("a.meta").eqNullSafe(F.col("b.meta")), "archive_entry_metadata_changed")
+        .when(F.coalesce(F.col("a.integrity") & ~F.col("a.metadata"), F.lit(False)), "archive_integrity_contract_requires_publisher")
+        .when(differs & ~picture, "archive_non_image_payload_changed")
+        .when(differs & ~F.coalesce("same", F.lit(False)), "archive_image_pixels_changed")
+    )
+    judged = both.groupBy("archive").agg(F.bool_or(torn).alias("torn"), F.min(F.when(fault.isNotNull(), F.struct("position", fault.alias("fault")))).alias("first"))
+    held = contracts.select("archive", F.lit(True).alias("held")).distinct() if contracts is not None else None
+    judged = judged.join(held, "archive", "left") if held is not None else judged.withColumn("held", F.lit(False))
+    whole = F.when(F.coalesce("held", F.lit(False)), "archive_integrity_contract_requires_publisher").when(F.col("torn"), "archive_structure_changed")
+    return judged.select("archive", F.coalesce(whole, F.col("first.fault")).alias("verdict"), F.when(whole.isNull(), F.col("first.position")).alias("position"))
+
+
+def changed_pictures(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(sha256, other): the pairs of PNG contents that stand at one place of an archive before and after and differ, each once."""
+    a = before.where("png and not metadata and archive is not null").select("archive", "position", "sha256")
+    b = after.select("archive", "position", F.col("sha256").alias("other"))
+    return a.join(b, ["archive", "position"]).where("sha256 <> other").select("sha256", "other").distinct()
