@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.operators import palettes as palette
 from quern.operators import reuse, sequence, similarity
 from quern.plans.tables import read
 
@@ -136,6 +137,20 @@ def color_histogram(spark, sf_dir):
     return similarity.color_histogram(c, 60)
 
 
+def palettes(spark, sf_dir):
+    """Events as pixels, one image for each type and remainder of the user: the palette of six colours of each, all images at once."""
+    e, v = read(spark, sf_dir, "events"), F.floor(F.abs("value"))
+    image = F.concat("event_type", (F.col("user_id") % 3).cast("string"))
+    c = e.select(image.alias("image"), (v % 256).alias("red"), (F.col("user_id") * 7 % 256).alias("green"), (F.col("event_id") * 11 % 64).alias("blue"), F.when(F.col("event_id") % 9 == 0, 0).otherwise(255).alias("alpha"))
+    return palette.palettes(palette.histograms(c), 6, 2)
+
+
+def fingerprints(spark, sf_dir):
+    """Embeddings as images of 8 x 2 pixels, in a grid of 4 x 4 cells: smaller than the grid one way, larger the other."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.least(F.abs(x).cast("double") * 4, F.lit(1.0))).alias("rgba"))
+    return similarity.fingerprint(e.select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), F.lit(2).alias("height"), "rgba"), 4)
+
+
 def reuse_keys(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("|", F.sha2(F.col("text").cast("binary"), 256), "source"), 256).alias("key"))
     return reuse.reuse(d, "key", "doc_id").select("doc_id", "owner", "reused")
@@ -178,7 +193,7 @@ def poster_argmax(spark, sf_dir):
     return sequence.poster(e, "user_id", "event_id", "sprites", "ink")
 
 
-QUERIES = {f.__name__: f for f in (identical_groups, identical_pairs, similar_pairs, similar_groups, group_score_range, similar_groups_without_missing, ordered_groups, similar_images, image_groups, image_comparisons, group_kinds, fingerprint_grid, vector_difference, color_histogram, reuse_keys, reuse_totals, cache_prune, dedup_exclusion_wins, phase_seconds, carry_forward, run_groups, poster_argmax)}
+QUERIES = {f.__name__: f for f in (identical_groups, identical_pairs, similar_pairs, similar_groups, group_score_range, similar_groups_without_missing, ordered_groups, similar_images, image_groups, image_comparisons, group_kinds, fingerprint_grid, vector_difference, color_histogram, palettes, fingerprints, reuse_keys, reuse_totals, cache_prune, dedup_exclusion_wins, phase_seconds, carry_forward, run_groups, poster_argmax)}
 
 _DIFF = "list_sum(list_transform(range(1, 65), lambda i: abs(x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE))) / 64"
 _PAIRS = f"""p AS (SELECT x.vec_id AS a, y.vec_id AS b, {_DIFF} AS d FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE {_DIFF} <= {LIMIT})"""
@@ -208,6 +223,29 @@ refs AS (SELECT unnest(refs) AS k FROM (SELECT refs FROM w ORDER BY k DESC LIMIT
 m AS (SELECT b AS k, min(a) AS r FROM p WHERE a IN (SELECT k FROM refs) AND b NOT IN (SELECT k FROM refs) GROUP BY 1),
 g AS (SELECT k, r FROM m UNION SELECT r, r FROM m)
 """
+_LUMA = "(0.2126::DOUBLE * p[k * 4 + 1] + 0.7152::DOUBLE * p[k * 4 + 2] + 0.0722::DOUBLE * p[k * 4 + 3] + (1 - p[k * 4 + 4]) * 0.5::DOUBLE)"
+
+
+def _palettes_sql(most: int, rounds: int) -> str:
+    """One cut after another, each with its own views; then the centres move."""
+    axes = range(4)
+    views = ["""p0 AS MATERIALIZED (SELECT image, c, [c.red * a, c.green * a, c.blue * a, c.alpha * 2.0::DOUBLE] AS p, w, 'r' AS box FROM (
+  SELECT image, c, c.alpha / 255.0::DOUBLE AS a, count(*)::DOUBLE AS w FROM (SELECT event_type || (user_id % 3)::VARCHAR AS image, {'red': floor(abs(value))::BIGINT % 256, 'green': user_id * 7 % 256, 'blue': event_id * 11 % 64, 'alpha': CASE WHEN event_id % 9 = 0 THEN 0 ELSE 255 END} AS c FROM events) GROUP BY ALL))"""]
+    for k in range(most - 1):
+        error = ", ".join(f"{{'e': CASE WHEN min(p[{i + 1}]) < max(p[{i + 1}]) THEN greatest(sum(p[{i + 1}] * p[{i + 1}] * w) - sum(p[{i + 1}] * w) * sum(p[{i + 1}] * w) / sum(w), 0) ELSE 0 END, 'i': {-i}, 'cut': sum(p[{i + 1}] * w) / sum(w)}}" for i in axes)
+        views.append(f"s{k} AS (SELECT image, box, list_max([{error}]) AS b FROM p{k} GROUP BY ALL)")
+        views.append(f"t{k} AS (SELECT image, box, b FROM s{k} WHERE b.e > 0 QUALIFY row_number() OVER (PARTITION BY image ORDER BY b.e DESC, length(box), box) = 1)")
+        views.append(f"p{k + 1} AS MATERIALIZED (SELECT p.image, p.c, p.p, p.w, p.box || CASE WHEN t.box IS NULL THEN '' WHEN p.p[1 - t.b.i] <= t.b.cut THEN '0' ELSE '1' END AS box FROM p{k} p LEFT JOIN t{k} t ON t.image = p.image AND t.box = p.box)")
+    mean = "[" + ", ".join(f"sum(p[{i + 1}] * w) / sum(w)" for i in axes) + "]"
+    views.append(f"c0 AS MATERIALIZED (SELECT image, row_number() OVER (PARTITION BY image ORDER BY box) AS i, c FROM (SELECT image, box, {mean} AS c FROM p{most - 1} GROUP BY ALL))")
+    gap = " + ".join(f"(p[{i + 1}] - c[{i + 1}]) * (p[{i + 1}] - c[{i + 1}])" for i in axes)
+    for k in range(rounds):
+        views.append(f"n{k} AS MATERIALIZED (SELECT x.image, x.p, x.w, min({{'g': {gap}, 'i': i}}).i AS i FROM p0 x JOIN c{k} y ON y.image = x.image GROUP BY x.image, x.p, x.w, x.c)".replace("p[", "x.p[").replace("c[", "y.c["))
+        views.append(f"c{k + 1} AS MATERIALIZED (SELECT image, i, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN (SELECT image, i, {mean} AS c FROM n{k} GROUP BY ALL) m USING (image, i))")
+    level = lambda i: f"CASE WHEN a > 0 THEN floor(least(greatest(c[{i}] / (a / 255), 0), 255) + 0.5)::INTEGER ELSE 0 END"
+    return f"WITH {', '.join(views)} SELECT DISTINCT image, {level(1)} AS red, {level(2)} AS green, {level(3)} AS blue, floor(a + 0.5)::INTEGER AS alpha FROM (SELECT *, least(greatest(c[4] / 2, 0), 255) AS a FROM c{rounds})"
+
+
 _SHA = "sha256(text)"
 ORACLE_SQL = {
     "identical_groups": f"SELECT arg_min(doc_id, (-n_chars, doc_id)) AS reference, count(*)::BIGINT AS members, (sum(n_chars) - max(n_chars))::BIGINT AS redundant_bytes FROM documents GROUP BY {_SHA} HAVING count(*) > 1",
@@ -235,6 +273,14 @@ ORACLE_SQL = {
       FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1, LATERAL (SELECT list_sum(list_transform(range(1, 65), lambda i: (x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE) ** 2)) / 64 AS sq)""",
     "color_histogram": """WITH e AS (SELECT floor(value * 10)::BIGINT AS c FROM events), b AS (SELECT min(k) AS bits FROM range(0, 40) t(k) WHERE (SELECT count(DISTINCT c >> k) FROM e) <= 60)
       SELECT c >> bits AS color, count(*)::BIGINT AS n, bits::INTEGER AS bits FROM e, b GROUP BY ALL""",
+    "palettes": _palettes_sql(6, 2),
+    "fingerprints": f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: least(abs(x)::DOUBLE * 4, 1)) AS p FROM embeddings),
+      g AS (SELECT id, p, gy, gx, CASE WHEN gy < 2 THEN 0 ELSE 1 END AS y FROM e, range(4) a(gy), range(4) b(gx)),
+      c AS (SELECT id, gy, gx, avg({_LUMA}) AS luma, avg(p[k * 4 + 4]) AS alpha FROM (SELECT *, y * 8 + gx * 2 + d AS k FROM g, range(2) t(d) WHERE d = 0 OR gy % 2 = 0) GROUP BY ALL),
+      h AS (SELECT id, string_agg(printf('%02x', floor(least(greatest(luma, 0), 1) * 255 + 0.5)::INTEGER), '' ORDER BY gy, gx) AS luma, string_agg(printf('%02x', floor(least(greatest(alpha, 0), 1) * 255 + 0.5)::INTEGER), '' ORDER BY gy, gx) AS alpha, var_pop(luma) >= {similarity.FLAT} AS detailed, bool_and(alpha >= 0.999) AS opaque FROM c GROUP BY 1),
+      m AS (SELECT id, list_sum(list_transform(range(16), lambda k: p[k * 4 + 1])) AS r, list_sum(list_transform(range(16), lambda k: p[k * 4 + 2])) AS g, list_sum(list_transform(range(16), lambda k: p[k * 4 + 3])) AS b, list_sum(list_transform(range(16), lambda k: p[k * 4 + 4])) AS a FROM e)
+      SELECT id, luma, CASE WHEN opaque THEN '' ELSE alpha END AS alpha, CASE WHEN a > 0 THEN least(floor(r / a * 255 + 0.5), 255)::INTEGER ELSE 0 END AS red, CASE WHEN a > 0 THEN least(floor(g / a * 255 + 0.5), 255)::INTEGER ELSE 0 END AS green,
+      CASE WHEN a > 0 THEN least(floor(b / a * 255 + 0.5), 255)::INTEGER ELSE 0 END AS blue, detailed FROM h JOIN m USING (id)""",
     "reuse_keys": "WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text, source) AS owner FROM documents) SELECT doc_id, owner, owner <> doc_id AS reused FROM k",
     "reuse_totals": "WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text, source) AS owner FROM documents) SELECT count(*)::BIGINT AS rows, count(*) FILTER (owner <> doc_id)::BIGINT AS reused FROM k",
     "cache_prune": "SELECT event_id, b AS bytes FROM (SELECT event_id, floor(abs(value))::BIGINT AS b, sum(floor(abs(value))::BIGINT) OVER (ORDER BY ts DESC, floor(abs(value))::BIGINT DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS s FROM events) WHERE s <= 200000",

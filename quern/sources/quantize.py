@@ -47,36 +47,39 @@ def histogram(rgba: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     out = np.zeros(len(points), np.int64)
-    for lo in range(0, len(points), 4096):
-        part = points[lo : lo + 4096]
-        out[lo : lo + 4096] = ((part[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+    for lo in range(0, len(points), 512):
+        part = points[lo : lo + 512]
+        out[lo : lo + 512] = ((part[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
     return out
 
 
 def palette(rgba: np.ndarray, size: int) -> np.ndarray:
-    """At most `size` colours for an image (rows, columns, 4): boxes of greatest spread are cut at their median, then centres move to their means."""
+    """At most `size` colours for an image (rows, columns, 4): boxes of greatest spread are cut at their mean, then centres move to their means. One image by itself; operators.palettes does it for many."""
     colours, counts = histogram(rgba)
     if len(colours) <= size:
         return colours
     points, weight = _points(colours), counts.astype(float)
     boxes = [np.arange(len(points))]
 
-    def spread(box: np.ndarray) -> tuple[float, int]:
+    def spread(box: np.ndarray) -> tuple[float, int, float]:
         own, w = points[box], weight[box]
         mean = (own * w[:, None]).sum(0) / w.sum()
         axes = ((own - mean) ** 2 * w[:, None]).sum(0)
-        return float(axes.max()), int(axes.argmax())
+        return float(axes.max()), int(axes.argmax()), float(mean[axes.argmax()])
 
     spreads = [spread(boxes[0])]
     while len(boxes) < size:
         at = max(range(len(boxes)), key=lambda i: (spreads[i][0], -i))
-        if spreads[at][0] <= 0:
+        error, axis, cut = spreads[at]
+        if error <= 0:
             break
-        box = boxes[at][np.argsort(points[boxes[at], spreads[at][1]], kind="stable")]
-        total = np.cumsum(weight[box])
-        cut = min(max(int(np.searchsorted(total, total[-1] / 2)) + 1, 1), len(box) - 1)
-        boxes[at : at + 1] = [box[:cut], box[cut:]]
-        spreads[at : at + 1] = [spread(box[:cut]), spread(box[cut:])]
+        low = points[boxes[at], axis] <= cut
+        if low.all() or not low.any():  # nothing but rounding is left of its spread
+            spreads[at] = (0.0, axis, cut)
+            continue
+        own = boxes[at]
+        boxes[at : at + 1] = [own[low], own[~low]]
+        spreads[at : at + 1] = [spread(own[low]), spread(own[~low])]
     centres = np.array([(points[b] * weight[b][:, None]).sum(0) / weight[b].sum() for b in boxes])
     for _ in range(ROUNDS):
         own = _nearest(points, centres)
