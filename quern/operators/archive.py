@@ -10,10 +10,11 @@ MAX_INPUT, MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, PREVIEWS = 64 << 20, 10_000, 64 <<
 
 
 def totals(entries: DataFrame) -> DataFrame:
-    """For each archive its entries, sums and the first limit it breaks."""
-    out = entries.groupBy("archive").agg(F.count("*").alias("entries"), F.sum("bytes").alias("expanded_bytes"), F.sum("compressed").alias("compressed_bytes"), F.max("bytes").alias("largest"))
-    problem = F.when(F.col("entries") > MAX_ENTRIES, "too_many_entries").when(F.col("largest") > MAX_ENTRY, "entry_too_large").when(F.col("expanded_bytes") > MAX_TOTAL, "archive_too_large")
-    return out.withColumn("problem", problem)
+    """For each archive its entries, sums and the first limit it breaks. A sum that 64 bits don't hold is null and a problem, not an error of the query."""
+    out = entries.groupBy("archive").agg(F.count("*").alias("entries"), F.try_sum("bytes").alias("expanded_bytes"), F.try_sum("compressed").alias("compressed_bytes"), F.max("bytes").alias("largest"), F.count("bytes").alias("sized"))
+    over = F.col("expanded_bytes").isNull() & (F.col("sized") > 0)
+    problem = F.when(F.col("entries") > MAX_ENTRIES, "too_many_entries").when(F.col("largest") > MAX_ENTRY, "entry_too_large").when(over, "archive_size_overflow").when(F.col("expanded_bytes") > MAX_TOTAL, "archive_too_large")
+    return out.withColumn("problem", problem).drop("sized")
 
 
 def largest_entries(entries: DataFrame, n: int = PREVIEWS) -> DataFrame:

@@ -189,16 +189,70 @@ def thresholds(rows: DataFrame, min_input: int, min_bytes: int, min_percent: flo
     return rows.withColumn("savings", saved).withColumn("reason", reason)
 
 
+#: Rows of the trial list that is broadcast.
+MOST_TRIALS = 1_000
+
+
 def trials(resources: DataFrame, qualities: DataFrame) -> DataFrame:
     """resources (resource, locked, alpha, catalog, android, min_sdk) x the fixed trial list (format, lossy, quality): those to try, and why not."""
     from quern.functions.classify import webp_compatibility
 
-    both = resources.crossJoin(F.broadcast(qualities))  # the trial list is fixed and has a few rows
+    if qualities.limit(MOST_TRIALS + 1).count() > MOST_TRIALS:
+        raise ValueError(f"more than {MOST_TRIALS} trials")
+    both = resources.crossJoin(F.broadcast(qualities))  # a few rows, counted
     webp = F.when(F.col("catalog"), "catalog_has_no_webp").when(F.col("android"), webp_compatibility(F.col("min_sdk"), ~F.col("lossy"), F.col("alpha")))
     reason = F.when((F.col("format") == "png") & ~F.col("lossy"), None).when(F.col("locked"), "format_locked").when((F.col("format") == "jpeg") & F.col("alpha"), "jpeg_has_no_alpha").when(F.col("format") == "webp", webp)
     return both.withColumn("reason", reason)
 
 
+# Fixed value: the quality of a HEIC trial that is all but lossless.
+NEAR_LOSSLESS = 100
+
+
+@dataclass(frozen=True)
+class TrialOptions:
+    """Which encodings are tried."""
+
+    qualities: tuple[int, ...] = (75, 85, 95)
+    lossy_png: bool = False
+    webp: bool = True
+    encoder: bool = True
+    near_lossless: bool = False
+
+
+def trial_lists(resources: DataFrame, options: TrialOptions) -> DataFrame:
+    """resources (resource, format, lock, alpha, catalog, android, min_sdk) -> (resource, trials: array of (format, quality), issues: array), in the order in which they are tried.
+
+    A PNG is tried as it is; a lock rules out all else and is the one issue. Lossy PNG keeps the format. With an encoder,
+    Android files stay JPEG if they are, others may become JPEG if opaque and HEIC, near-lossless too if that is asked for and no
+    quality of the list. WebP, outside of catalogs: lossy, and lossless for a PNG, where the platform's lowest level reads
+    them; each reason once. Trials are arrays of a row, so nothing is joined.
+    """
+    from quern.functions.classify import webp_compatibility
+
+    kind = "array<struct<format: string, quality: int>>"
+    none = F.array().cast(kind)
+    trial = lambda fmt, q: F.struct(F.lit(fmt).alias("format"), F.lit(q).cast("int").alias("quality"))
+    lossy = lambda fmt: F.array(*[trial(fmt, q) for q in sorted(options.qualities)]).cast(kind)
+    one = lambda fmt, q=None: F.array(trial(fmt, q)).cast(kind)
+    png, android, alpha = F.col("format") == "png", F.coalesce("android", F.lit(False)), F.coalesce("alpha", F.lit(False))
+    open_, target = F.col("lock").isNull(), ~F.coalesce("catalog", F.lit(False))
+    own = F.when(png, one("png")).otherwise(none)
+    same = F.when(open_ & png & F.lit(options.lossy_png), lossy("png")).otherwise(none)
+    jpeg = F.when(open_ & F.lit(options.encoder) & ((android & (F.col("format") == "jpeg")) | (~android & ~alpha)), lossy("jpeg")).otherwise(none)
+    near = one("heic", NEAR_LOSSLESS) if options.near_lossless and NEAR_LOSSLESS not in options.qualities else none
+    heic = F.when(open_ & F.lit(options.encoder) & ~android, F.concat(lossy("heic"), near)).otherwise(none)
+    gate = lambda lossless: F.when(android, webp_compatibility(F.col("min_sdk"), F.lit(lossless), alpha))
+    tried = open_ & target & F.lit(options.webp)
+    webp = F.when(tried & gate(False).isNull(), lossy("webp")).otherwise(none)
+    whole = F.when(tried & png & gate(True).isNull(), one("webp")).otherwise(none)
+    issues = F.array(
+        F.col("lock"), F.when(open_ & target & F.lit(not options.webp) & (android | (F.col("format") == "webp")), "webp_candidates_disabled"),
+        F.when(tried, gate(False)), F.when(tried & png, gate(True)),
+    )
+    return resources.select("resource", F.concat(own, same, jpeg, heic, webp, whole).alias("trials"), F.array_distinct(F.array_compact(issues)).alias("issues"))
+
+
 def skip_dominated(trial_rows: DataFrame, margin: float = 1.05, top_margin: float = 1.25) -> DataFrame:
     """trial_rows (resource, format, quality, bytes, limit) -> (resource, format, quality, skipped, by_quality).
 

@@ -57,10 +57,11 @@ def last_wins(entries: DataFrame) -> DataFrame:
 
 
 def source_language(entries: DataFrame, declared: str | None = None) -> DataFrame:
-    """One row: the declared language, else Base, default or en if there, else the one of most entries (ties to the smaller name)."""
+    """One row: the declared language, whether it has entries or not, else Base, default or en if there, else the one of most entries (ties to the smaller name)."""
     counts = entries.groupBy("language").agg(F.count("*").alias("n"))
-    first = F.when(F.col("language") == (declared or ""), 0).when(F.col("language") == "Base", 1).when(F.col("language") == "default", 2).when(F.col("language") == "en", 3).otherwise(4)
-    return counts.agg(F.min_by("language", F.struct(first.alias("p"), F.when(first == 4, -F.col("n")).otherwise(0).alias("n"), "language")).alias("language"))
+    first = F.when(F.col("language") == "Base", 1).when(F.col("language") == "default", 2).when(F.col("language") == "en", 3).otherwise(4)
+    best = F.min_by("language", F.struct(first.alias("p"), F.when(first == 4, -F.col("n")).otherwise(0).alias("n"), "language"))
+    return counts.agg((F.lit(declared) if declared else best).alias("language"))
 
 
 def checked_keys(entries: DataFrame, source: str) -> DataFrame:

@@ -77,12 +77,22 @@ def trial_matrix(spark, sf_dir):
     return c.trials(p, q).select("resource", "format", "lossy", "reason")
 
 
+def trial_lists(spark, sf_dir):
+    """parts as resources: the encodings that are tried, in order, and why others are not."""
+    p = read(spark, sf_dir, "part")
+    z = F.col("p_size")
+    rows = p.select(F.col("p_partkey").alias("resource"), F.when(z % 3 == 0, "png").when(z % 3 == 1, "jpeg").otherwise("webp").alias("format"), F.when(z % 11 == 0, "android_nine_patch").alias("lock"), (z % 2 == 0).alias("alpha"), (z % 5 == 0).alias("catalog"), (z % 7 < 3).alias("android"), F.when(z % 4 != 0, z % 25).alias("min_sdk"))
+    t = c.trial_lists(rows, c.TrialOptions(qualities=(90, 70), lossy_png=True, near_lossless=True))
+    shown = F.transform("trials", lambda t: F.concat(t["format"], F.coalesce(t["quality"].cast("string"), F.lit("-"))))
+    return t.select("resource", F.array_join(shown, ",").alias("trials"), F.array_join("issues", ",").alias("issues"))
+
+
 def skip_dominated_trials(spark, sf_dir):
     i = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("resource"), F.lit("webp").alias("format"), F.col("l_linenumber").alias("quality"), F.floor("l_extendedprice").cast("long").alias("bytes"), F.lit(50_000).cast("long").alias("limit"))
     return c.skip_dominated(i)
 
 
-QUERIES = {f.__name__: f for f in (candidate_verdicts, smallest_candidate, batch_plan_items, batch_plan_totals, batch_exclusion_reasons, batch_plan_token, batch_status, recommended_savings, preferred_candidates, legacy_plan_thresholds, legacy_plan_savings, trial_matrix, skip_dominated_trials)}
+QUERIES = {f.__name__: f for f in (candidate_verdicts, smallest_candidate, batch_plan_items, batch_plan_totals, batch_exclusion_reasons, batch_plan_token, batch_status, recommended_savings, preferred_candidates, legacy_plan_thresholds, legacy_plan_savings, trial_matrix, trial_lists, skip_dominated_trials)}
 
 _BASE = "WITH" + RESOURCES_SQL + "," + CANDIDATES_SQL
 _WARN = "NOT valid AND lossy AND artifact AND rejection IN ('alpha_error_exceeds_policy', 'transparency_presence_changed', 'quality_below_policy')"
@@ -120,6 +130,12 @@ ORACLE_SQL = {
       SELECT resource, CASE WHEN state = 'applied' THEN 3 ELSE coalesce(sw, v, fw, f) END::INTEGER AS candidate FROM res LEFT JOIN g USING (resource)""",
     "legacy_plan_thresholds": _PLAN + "SELECT * FROM p",
     "legacy_plan_savings": _PLAN + "SELECT reason, count(*)::BIGINT AS n, sum(savings)::BIGINT AS savings FROM p GROUP BY 1",
+    "trial_lists": """WITH p AS (SELECT p_partkey AS resource, CASE p_size % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' ELSE 'webp' END AS f, CASE WHEN p_size % 11 = 0 THEN 'android_nine_patch' END AS lock, p_size % 2 = 0 AS alpha, p_size % 5 = 0 AS cat, p_size % 7 < 3 AS droid, CASE WHEN p_size % 4 <> 0 THEN p_size % 25 END AS sdk FROM part),
+      g AS (SELECT *, CASE WHEN NOT droid THEN NULL WHEN sdk IS NULL THEN 'android_min_sdk_unknown' WHEN sdk < CASE WHEN alpha THEN 18 ELSE 14 END THEN 'android_min_sdk_' || sdk || '_below_webp_requirement_' || CASE WHEN alpha THEN 18 ELSE 14 END END AS g1,
+        CASE WHEN NOT droid THEN NULL WHEN sdk IS NULL THEN 'android_min_sdk_unknown' WHEN sdk < 18 THEN 'android_min_sdk_' || sdk || '_below_webp_requirement_18' END AS g2, lock IS NULL AND NOT cat AS w FROM p)
+      SELECT resource, array_to_string(list_filter([CASE WHEN f = 'png' THEN 'png-' END, CASE WHEN lock IS NULL AND f = 'png' THEN 'png70,png90' END, CASE WHEN lock IS NULL AND ((droid AND f = 'jpeg') OR (NOT droid AND NOT alpha)) THEN 'jpeg70,jpeg90' END,
+        CASE WHEN lock IS NULL AND NOT droid THEN 'heic70,heic90,heic100' END, CASE WHEN w AND g1 IS NULL THEN 'webp70,webp90' END, CASE WHEN w AND f = 'png' AND g2 IS NULL THEN 'webp-' END], lambda t: t IS NOT NULL), ',') AS trials,
+        array_to_string(list_filter([lock, CASE WHEN w THEN g1 END, CASE WHEN w AND f = 'png' AND (g1 IS NULL OR g2 <> g1) THEN g2 END], lambda t: t IS NOT NULL), ',') AS issues FROM g""",
     "trial_matrix": """WITH p AS (SELECT p_partkey AS resource, p_size % 9 = 0 AS locked, p_size % 2 = 0 AS alpha, p_size % 5 = 0 AS catalog, p_size % 3 = 0 AS android, CASE WHEN p_size % 4 <> 0 THEN p_size % 25 END AS sdk FROM part),
       t(format, lossy) AS (VALUES ('png', false), ('png', true), ('jpeg', true), ('webp', false), ('webp', true))
       SELECT resource, format, lossy, CASE WHEN format = 'png' AND NOT lossy THEN NULL WHEN locked THEN 'format_locked' WHEN format = 'jpeg' AND alpha THEN 'jpeg_has_no_alpha' WHEN format = 'webp' THEN

@@ -2,12 +2,15 @@
 
 import io
 import os
+import threading
+import time
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.sources import tree, zipdir
-from quern.streaming import live
+from quern.streaming import control, live
 
 
 def put(root, name, data=b"x"):
@@ -97,12 +100,56 @@ def test_unsafe_archives(names):
         zipdir.inspect(package([(n, b"x") for n in names]))
 
 
-def test_feed_and_presence(spark, tmp_path):
-    src, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    told = []
+def test_feed(spark, tmp_path):
+    src, sink = str(tmp_path / "in"), str(tmp_path / "out")
     for k in range(2):
         spark.createDataFrame([(f"f{i}",) for i in range(k, k + 2)], "path string").coalesce(1).write.mode("append").parquet(src)
         live.feed(spark, src, "path string", sink, str(tmp_path / "c1")).awaitTermination()
-        live.presence(spark, src, "path string", state, str(tmp_path / "c2"), lambda df, n: told.append(sorted(r[0] for r in df.collect()))).awaitTermination()
     assert spark.read.parquet(sink).count() == 4
-    assert told == [["f0", "f1"], ["f2"]]
+
+
+def test_presence_tells_changes_only(spark, tmp_path):
+    src, told, schema = str(tmp_path / "in"), [], "path string, seq long, present boolean"
+    scans = [[("a", 1, True), ("b", 1, True), ("c", 1, False), (None, 1, True)], [("a", 2, True), ("b", 2, False), ("c", 3, True), ("c", 2, False)], [("b", 1, True), ("a", 4, True), ("c", 4, None)]]
+    for rows in scans:  # each run starts anew from its checkpoint
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        live.presence(spark, src, schema, str(tmp_path / "c"), lambda df, n: told.append(sorted((r["path"], r["present"]) for r in df.collect()))).awaitTermination()
+    assert [t for t in told if t] == [[("a", True), ("b", True)], [("b", False), ("c", True)], [("c", False)]]
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    src, seen, schema = str(tmp_path / "in"), {}, "batch int, outcome string, savings_bytes long"
+    plans = spark.createDataFrame([(1, 3), (2, 2)], "batch int, total int")
+    for rows in ([(1, "applied", 5), (2, "failed", 0)], [(1, "failed", 0), (1, "applied", 7), (2, "cancelled", 0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        out = live.batch_progress(spark.readStream.schema(schema).parquet(src), plans)
+        out.writeStream.outputMode("update").foreachBatch(lambda df, n: seen.update({r["batch"]: r.asDict() for r in df.collect()})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert seen[1] == {"batch": 1, "total": 3, "done": 3, "applied": 2, "failed": 1, "cancelled": False, "savings_bytes": 12, "running": False}
+    assert (seen[2]["cancelled"], seen[2]["running"], seen[2]["savings_bytes"]) == (True, False, 0)
+
+
+def test_cancelled_run_gives_every_resource_one_row(spark, tmp_path):
+    resources = spark.createDataFrame([(f"p{i}",) for i in range(200)], "path string").repartition(2)
+    run = control.Run(spark)
+    steps = []
+
+    def analyse(part):
+        steps.append(1)
+        if len(steps) < 3:
+            return part.withColumn("status", F.lit("done"))
+        threading.Timer(1.5, run.cancel).start()
+
+        def slow(batches):
+            for b in batches:
+                time.sleep(90)
+                yield b
+
+        return part.mapInPandas(slow, "path string").withColumn("status", F.lit("late"))
+
+    start = time.time()
+    got = run.run(resources, analyse, str(tmp_path / "out"), slices=5).collect()
+    assert time.time() - start < 80 and run.cancelled and len(steps) == 3
+    assert sorted(r["path"] for r in got) == sorted(f"p{i}" for i in range(200))
+    assert {r["status"] for r in got} == {"done", "not_analyzed"}
+    whole = control.Run(spark).run(resources, lambda part: part.withColumn("status", F.lit("done")), str(tmp_path / "all"), slices=3)
+    assert whole.count() == 200 and whole.where("status <> 'done'").count() == 0
