@@ -67,7 +67,7 @@ def size_text(size: Column) -> Column:
     out = F.when(size.isNull() | (size < 0), "—").when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
     units = ["KiB", "MiB", "GiB", "TiB", "PiB"]
     for n, unit in enumerate(units, 1):
-        text = F.regexp_replace(F.format_number(size / float(1024**n), 2), "0$", "")
+        text = F.regexp_replace(F.format_number(size / float(1024**n), 2), "0$|,", "")
         text = F.concat(text, F.lit(f" {unit}"))
         out = out.when(size < 1024 ** (n + 1), text) if n < len(units) else out.otherwise(text)
     return out

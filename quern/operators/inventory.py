@@ -37,6 +37,11 @@ def catalog_of(path: Column) -> Column:
     return F.when((first > 0) & ~barred, F.array_join(F.slice(parts, 1, first.cast("int")), "/"))
 
 
+def plain_files(files: DataFrame) -> DataFrame:
+    """files less symlinks and what can't be read, where a column `entry` tells."""
+    return files.where("entry = 'file'") if "entry" in files.columns else files
+
+
 def catalogs(files: DataFrame) -> DataFrame:
     """(catalog, entries, refused): every asset catalog, with how many entries are in it.
 
@@ -49,7 +54,7 @@ def catalogs(files: DataFrame) -> DataFrame:
 
 def _sets(files: DataFrame) -> DataFrame:
     """(contents_path, folder, contents_sha256, images) of the sets of catalogs that are not refused."""
-    plain = files.where("entry = 'file'") if "entry" in files.columns else files
+    plain = plain_files(files)
     refused = catalogs(files).where("refused").select("catalog")
     sets = plain.where(file_name(F.col("path")) == "Contents.json").withColumn("catalog", catalog_of(F.col("path"))).where("catalog is not null").join(refused, "catalog", "left_anti")
     return sets.select(F.col("path").alias("contents_path"), classify.parent(F.col("path")).alias("folder"), F.sha2("content", 256).alias("contents_sha256"), F.from_json(F.col("content").cast("string"), CONTENTS)["images"].alias("images"))
@@ -73,8 +78,7 @@ def renditions(files: DataFrame) -> DataFrame:
     rows = named.where(_plain_name(name)).select(F.concat_ws("/", "folder", name).alias("path"), reason.isNull().alias("eligible"), reason.alias("reason"), "contents_path", "contents_sha256", "place")
     spot = F.struct(F.split("contents_path", "/").alias("at"), "place")
     picked = rows.groupBy("path").agg(F.min_by(F.struct("eligible", "reason", "contents_path", "contents_sha256"), F.when(~F.col("eligible"), spot)).alias("bad"), F.max_by(F.struct("eligible", "reason", "contents_path", "contents_sha256"), spot).alias("last"))
-    there = files.where("entry = 'file'") if "entry" in files.columns else files
-    return picked.select("path", F.coalesce("bad", "last").alias("r")).join(there.select("path", "bytes"), "path").select("path", "bytes", "r.*")
+    return picked.select("path", F.coalesce("bad", "last").alias("r")).join(plain_files(files).select("path", "bytes"), "path").select("path", "bytes", "r.*")
 
 
 def unsafe_renditions(files: DataFrame) -> DataFrame:
@@ -109,7 +113,7 @@ def is_tooling(path: Column, header: Column) -> Column:
 def inventory(files: DataFrame) -> DataFrame:
     """files -> one row a resource, in order of path parts: path, bytes, kind, format, extension, extension_mismatch, origin, exclusion, format_lock, android, support."""
     path, header = F.col("path"), F.substring("header", 1, 512)
-    rows = files.where(~is_tooling(path, header)).select("path", "bytes", header.alias("header"), classify.extension_of(path).alias("extension"))
+    rows = plain_files(files).where(~is_tooling(path, header)).select("path", "bytes", header.alias("header"), classify.extension_of(path).alias("extension"))
     lottie = F.col("extension") == "json"
     by_name = classify.extension_format(F.col("extension"))
     fmt = F.when(lottie, "lottie").otherwise(F.coalesce(classify.actual_format(F.col("header")), by_name))
@@ -127,7 +131,7 @@ def inventory(files: DataFrame) -> DataFrame:
 
 def skipped(files: DataFrame) -> DataFrame:
     """One row: how many files the inventory leaves out as source or tooling."""
-    return files.agg(F.count_if(is_tooling(F.col("path"), F.substring("header", 1, 512))).alias("skipped_source_or_tooling_files"))
+    return plain_files(files).agg(F.count_if(is_tooling(F.col("path"), F.substring("header", 1, 512))).alias("skipped_source_or_tooling_files"))
 
 
 def project_kinds(files: DataFrame, resources: DataFrame) -> DataFrame:
