@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import batches, groups, languages, packages, projects, reports, structures
+from quern.plans import batches, details, groups, languages, packages, projects, reports, structures
 
-_AREAS = (packages, batches, groups, languages, reports, projects, structures)
+_AREAS = (packages, batches, details, groups, languages, reports, projects, structures)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for area in _AREAS for k, f in area.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for area in _AREAS for k, q in area.ORACLE_SQL.items()}
