@@ -117,8 +117,8 @@ def _sketch_batches(p: NearDup):
                 ends = np.zeros(len(size) + 1, np.int64)
                 np.cumsum(size > 0, out=ends[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size), pa.array(spread(low)), pa.array(spread(high)), _lists(keys.ravel(), ends * p.bands), *[pa.array(spread(sketch[:, i])) for i in range(p.sketch_words)]],
-                    names=["doc_id", "n_shingles", "low", "high", "keys", *[f"s{i}" for i in range(p.sketch_words)]],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(size), pa.array(spread(low)), pa.array(spread(high)), _lists(keys.ravel(), ends * p.bands), *[pa.array(spread(sketch[:, i])) for i in range(p.sketch_words)]],
+                    names=["doc_id", "text_hash", "n_shingles", "low", "high", "keys", *[f"s{i}" for i in range(p.sketch_words)]],
                 )
 
     return run
@@ -134,7 +134,10 @@ def _set_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textkit.slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(*shingle_sets(part.column("text"), size))], names=["id", "shingles"])
+                values, at = shingle_sets(part.column("text"), size)
+                full = np.flatnonzero(np.diff(at))
+                low = np.add.reduceat(mix(values), at[:-1][full]) if len(full) else np.zeros(0, U)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_fill(low, full, len(part))), _lists(values, at)], names=["id", "low", "shingles"])
 
     return run
 
@@ -146,7 +149,8 @@ def _fine_batches(p: NearDup):
                 values, at = shingle_sets(part.column("text"), p.shingle)
                 full = np.flatnonzero(np.diff(at))
                 sketch = odd_sketch(minhashes(values, at[:-1][full], p.fine_values), p.fine_words) if len(full) else np.zeros((0, p.fine_words), U)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(full)), *[pa.array(sketch[:, i].copy().view(np.int64)) for i in range(p.fine_words)]], names=["id", *[f"f{i}" for i in range(p.fine_words)]])
+                low = np.add.reduceat(mix(values), at[:-1][full]) if len(full) else np.zeros(0, U)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(full)), pa.array(low.view(np.int64)), *[pa.array(sketch[:, i].copy().view(np.int64)) for i in range(p.fine_words)]], names=["id", "low", *[f"f{i}" for i in range(p.fine_words)]])
 
     return run
 
@@ -156,14 +160,15 @@ def _apart(x, y, words: list[str]) -> Column:
 
 
 def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row per document.
+    """docs (doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept, text_hash), one row per document.
 
     Words are runs without ASCII white space in the text with A-Z lower-cased; a document's set has its distinct
     shingles of `shingle` words, or its whole word sequence if that is shorter. Documents are linked at a Jaccard
     similarity of percent / 100 or more; component_id is the least doc_id reachable. Sets are held as 64-bit hashes.
 
-    Null and empty texts: n_shingles 0, linked with nothing. Repeated rows of one doc_id give one row each. Equal sets
-    are one node from the start, so copies are never expanded. A null doc_id is its own component (null). Only doc_id
+    Null and empty texts: n_shingles 0, linked with nothing. Repeated rows of one doc_id give one row each, linked by the
+    row's own text; text_hash (xxhash64 of the text) tells those apart that differ. Equal sets are one node from the start, whatever
+    their doc_ids, so copies are never expanded. A null doc_id is its own component (null). Only doc_id
     and text are read, so other columns can't clash. An empty table gives an empty result.
     """
     p = params or NearDup()
@@ -175,34 +180,43 @@ def near_duplicates(docs: DataFrame, params: NearDup | None = None) -> DataFrame
 def _near_duplicates(docs: DataFrame, p: NearDup) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = [f"s{i}" for i in range(p.sketch_words)]
-    schema = "doc_id long, n_shingles long, low long, high long, keys array<long>, " + ", ".join(f"{c} long" for c in words)
-    sketches = save(docs.mapInArrow(_sketch_batches(p), schema), "sketches")
+    schema = "doc_id long, text_hash long, n_shingles long, low long, high long, keys array<long>, " + ", ".join(f"{c} long" for c in words)
+    sketches = save(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch_batches(p), schema), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = save(full.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
-    reps = full.select("doc_id", "n_shingles", "low", "high", "keys", *words).join(classes, ["n_shingles", "low", "high"]).where("doc_id = id").dropDuplicates(["id"])
-    buckets = reps.select(F.explode("keys").alias("key"), "id", "n_shingles", *words)
+    # A node is a set. It is read again from the text of its least doc_id whose set has the same sum `low`.
+    classes = full.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    classes = save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = full.select("doc_id", "n_shingles", "low", "high", "keys", *words).join(classes, ["n_shingles", "low", "high"]).where("doc_id = id").dropDuplicates(["node"])
+    buckets = reps.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n_shingles", *words)
 
     def near(x, y):
         return (_apart(x, y, words) <= p.far) & (F.least(x("n_shingles"), y("n_shingles")) * 100 >= F.greatest(x("n_shingles"), y("n_shingles")) * p.percent)
 
-    def only(ids: DataFrame) -> DataFrame:
-        ids = save(ids, "ids")
-        return docs.join(small(ids, ids.count()), "doc_id", "left_semi")
+    def texts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The documents that hold the nodes' texts, and (node, id, low) to tell which is which."""
+        known = save(classes.join(nodes.distinct(), "node").select("node", "id", "low"), "nodes")
+        ids = known.select(F.col("id").alias("doc_id")).distinct()
+        return docs.join(small(ids, known.count()), "doc_id", "left_semi"), known
 
     def refine(ids: DataFrame):
         fine = [f"f{i}" for i in range(p.fine_words)]
-        found = only(ids.select(F.col("id").alias("doc_id"))).mapInArrow(_fine_batches(p), "id long, " + ", ".join(f"{c} long" for c in fine))
-        return save(found.dropDuplicates(["id"]), "fine"), lambda x, y: _apart(x, y, fine) <= p.fine_far
+        rows, known = texts(ids.select(F.col("id").alias("node")))
+        found = rows.mapInArrow(_fine_batches(p), "id long, low long, " + ", ".join(f"{c} long" for c in fine)).dropDuplicates(["id", "low"])
+        return save(found.join(known, ["id", "low"]).select(F.col("node").alias("id"), *fine), "fine"), lambda x, y: _apart(x, y, fine) <= p.fine_far
 
     def verify(pairs: DataFrame) -> DataFrame:
-        need = only(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        sets = save(need.mapInArrow(_set_batches(p.shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        rows, known = texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        sets = save(rows.mapInArrow(_set_batches(p.shingle), "id long, low long, shingles array<long>").dropDuplicates(["id", "low"]), "sets")
+        side = lambda n, c: known.select(F.col("node").alias(n), F.col("id").alias(f"{c}_id"), F.col("low").alias(f"{c}_low"))
+        own = lambda c: sets.select(F.col("id").alias(f"{c}_id"), F.col("low").alias(f"{c}_low"), F.col("shingles").alias(c))
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").join(own("x"), ["x_id", "x_low"]).join(own("y"), ["y_id", "y_low"])
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * p.percent).select("a", "b")
 
-    found = linked_components(buckets, ["n_shingles", *words], near, verify, refine)
-    named = classes.join(found, "id", "left").select("n_shingles", "low", "high", F.coalesce("component", "id").alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "low", "high").join(named, ["n_shingles", "low", "high"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = save(linked_components(buckets, ["n_shingles", *words], near, verify, refine).select(F.col("id").alias("node"), "component"), "found")
+    least = found.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("least"))
+    named = classes.join(found.join(least, "component").select("node", "least"), "node", "left").select("n_shingles", "low", "high", F.coalesce("least", "id").alias("component_id"))
+    out = sketches.select("doc_id", "n_shingles", "low", "high", "text_hash").join(named, ["n_shingles", "low", "high"], "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import ann, bpe, chat, codes, gumbel, langid, lines, overwrite, packing, quality, topk, toxicity
 from quern.llm.near_dup import NearDup, near_duplicates
-from quern.llm.shared import shared_dir, table
+from quern.llm.shared import scratched, shared_dir, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -26,7 +26,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), NearDup(shingle=2))
+    return near_duplicates(table(spark, sf_dir, "documents"), NearDup(shingle=2)).drop("text_hash")
 
 
 OP3_SQL = rf"""
@@ -54,6 +54,7 @@ def op4_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gumbel.encode_samples(table(spark, sf_dir, "documents"), p, ids=False)
 
 
+@scratched
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -83,6 +84,7 @@ def remainder(n: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
 
 
+@scratched
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     p = quality.Boosting()
@@ -107,12 +109,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+@scratched
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path, ranks, public_tokenizers.PATTERN))
 
 
+@scratched
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     p = toxicity.Toxicity()
@@ -134,6 +138,7 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(made, path)
 
 
+@scratched
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = codes.compress(table(spark, sf_dir, "embeddings"))
     code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "").alias("code")

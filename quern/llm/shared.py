@@ -6,6 +6,8 @@ import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,36 +41,49 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables saved since a scratch() began, removed at its end but for those kept, which pass to the scratch around it."""
 
-    def __init__(self, spark_paths: list[str]):
-        self.paths, self.kept = spark_paths, []
+    def __init__(self):
+        self.made: list[tuple[SparkSession, str]] = []
+        self.kept: list[str | None] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.kept.append(_place(df))
         return df
 
 
-_open: list[Scratch] = []
+#: The scratches that are open, in this thread or task: two queries at a time don't see each other's.
+_open: ContextVar[tuple[Scratch, ...]] = ContextVar("open", default=())
 
 
 @contextmanager
 def scratch() -> Iterator[Scratch]:
     """Removes what save() writes inside it, but for tables given to keep(). Nothing that reads them lazily may outlive it."""
-    here = Scratch([])
-    _open.append(here)
+    here, around = Scratch(), _open.get()
+    token = _open.set((*around, here))
     try:
         yield here
     finally:
-        _open.pop()
-        spark = SparkSession.getActiveSession()
-        for path in here.paths:
-            if path in here.kept and _open:
-                _open[-1].paths.append(path)
-            elif path not in here.kept:
-                _delete(spark, path)
+        _open.reset(token)
+        for spark, place in here.made:
+            if place in here.kept and around:
+                around[-1].made.append((spark, place))
+            elif place not in here.kept:
+                _delete(spark, place)
+
+
+def scratched(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """run, whose result is saved, and whose other tables are removed."""
+
+    @wraps(run)
+    def whole(*args, **named) -> DataFrame:
+        with scratch() as made:
+            return made.keep(save(run(*args, **named), "result"))
+
+    return whole
 
 
 def _place(df: DataFrame) -> str | None:
-    return next((f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in df.inputFiles()[:1]), None)
+    """The folder of a table made by save(), which marks what it gives back."""
+    return df.__dict__.get("_quern_place")
 
 
 def _delete(spark: SparkSession, name: str) -> None:
@@ -83,15 +98,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     place = f"quern-{name}-{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{place}"
     df.write.option("parquet.enable.dictionary", "false").option("compression", "zstd").parquet(path)  # mostly hashes and whole texts
-    if _open:
-        _open[-1].paths.append(place)
-    return spark.read.schema(df.schema).parquet(path)
+    if around := _open.get():
+        around[-1].made.append((spark, place))
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved._quern_place = place
+    return saved
 
 
 def forget(df: DataFrame) -> None:
     """Remove a table made by save() that no later read needs."""
-    place = _place(df)
-    if place and place.startswith("quern-"):
+    if place := _place(df):
         _delete(df.sparkSession, place)
 
 

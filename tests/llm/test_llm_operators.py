@@ -267,3 +267,64 @@ def test_labels_of_the_held_out_fold_are_not_learned(spark):
         assert one == two and len(set(one.values())) > 1
     out = queries.op6_quality_classifier(spark, path).collect()
     assert all(r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+
+
+def test_rows_of_one_id_with_several_texts_keep_their_links(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    texts = [(5, a), (5, b), (8, a + " x"), (9, b + " x"), (5, a)]
+    got = near_dup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(5, 5, True)] * 3 + [(8, 5, False), (9, 5, False)]
+    assert len({r["text_hash"] for r in got}) == 4
+
+
+def test_links_just_above_the_limit_are_found(spark):
+    """Pairs of 0.80 to 0.82 by single words: a fifth of the shingles of 300 differ."""
+    texts = []
+    for k in range(60):
+        words = [f"p{k}w{i}" for i in range(300)]
+        other = list(words)
+        for i in range(30):
+            other[3 + i * 9] = f"q{k}x{i}"
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    p = near_dup.NearDup(shingle=1)
+    sets, at = brute(texts, 1, 80)
+    low = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(60)]
+    assert all(0.8 <= x <= 0.82 for x in low)
+    got = near_dup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), p).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == at
+
+
+@pytest.mark.parametrize("name", ["op3_minhash_near_dedup", "op5_chat_formatting", "op6_quality_classifier", "op8_best_fit_packing", "op9_toxicity", "op12_vector_codes"])
+def test_queries_leave_their_result_only(spark, name):
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("needs the driver's tables")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert queries.QUERIES[name](spark, data).count() > 0
+    assert len([f for f in set(os.listdir(folder)) - before if f.startswith("quern-")]) == 1
+
+
+def test_scratches_of_two_threads_are_apart(spark):
+    import threading
+
+    from quern.llm import shared
+
+    ready, go, seen = threading.Event(), threading.Event(), []
+
+    def other():
+        with shared.scratch():
+            df = shared.save(spark.range(3), "other")
+            ready.set()
+            go.wait(60)
+            seen.append(df.count())
+
+    t = threading.Thread(target=other)
+    t.start()
+    ready.wait(60)
+    with shared.scratch():
+        shared.save(spark.range(2), "own")
+    go.set()
+    t.join()
+    assert seen == [3]
