@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import classify
 from quern.operators import candidates as c
-from quern.operators import diff, inventory, localization, usage
-from quern.sources import l10n, zipdir
+from quern.operators import diff, inventory, localization, similarity, usage
+from quern.operators import report as reports
+from quern.sources import l10n, media, zipdir
 from quern.sources.tree import TreeSource
 
 
@@ -29,6 +31,53 @@ def scan(spark: SparkSession, root: str, include_ignored: bool = False) -> DataF
     return inventory.route(inventory.inventory(tree(spark, root, include_ignored)))
 
 
+def _pngs(files: DataFrame, resources: DataFrame) -> DataFrame:
+    return files.where("entry = 'file' and content is not null").join(resources.where("kind = 'image' and format = 'png' and exclusion is null").select("path"), "path", "left_semi")
+
+
+def fingerprints(files: DataFrame, resources: DataFrame) -> DataFrame:
+    """(path, width, height, frames, luma, alpha, red, green, blue, detailed, error) of a project's PNG images: grids in hex."""
+    seen = media.images(_pngs(files, resources))
+    prints = similarity.fingerprint(seen.where("error is null").select(F.col("path").alias("id"), "width", "height", "rgba"))
+    return seen.drop("rgba").join(prints.withColumnRenamed("id", "path"), "path", "left").select("path", "width", "height", "frames", "luma", "alpha", "red", "green", "blue", "detailed", "error")
+
+
+def analyze(spark: SparkSession, root: str, options: c.AnalysisOptions | None = None, include_ignored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """From a project's files to its report's tables: resources with their status and fingerprint, and candidates with their verdict.
+
+    PNG images are recompressed; other encoders are not part of this library, so what needs one stays as the inventory says.
+    status: candidates_available, inspected (decoded, nothing smaller), failed (could not be decoded), excluded, unsupported, inventory_only.
+    """
+    files = tree(spark, root, include_ignored, links=True)
+    resources = inventory.route(inventory.inventory(files))
+    made = media.recompressed(_pngs(files, resources))
+    first = made.where("new_bytes is not null").select(F.col("path").alias("resource"), F.lit(0).alias("candidate"), F.lit("png").alias("format"), F.lit(False).alias("lossy"), F.col("new_bytes").cast("long").alias("bytes"), (F.col("bytes") - F.col("new_bytes")).cast("long").alias("savings_bytes"), F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("alpha_error"), F.lit(False).alias("transparency_changed"))
+    candidates = c.verdicts(first, options or c.AnalysisOptions())
+    settled = inventory.settled_rows(resources).select("path", F.col("status").alias("settled"), "issues")
+    best = c.recommended(candidates).select(F.col("resource").alias("path"), F.col("savings_bytes").alias("savings"))
+    rows = resources.join(fingerprints(files, resources), "path", "left").join(settled, "path", "left").join(best, "path", "left")
+    decoded = F.when(F.col("error").isNotNull(), "failed").when(F.col("width").isNotNull(), "inspected")
+    status = F.coalesce(F.when(F.col("savings").isNotNull(), "candidates_available"), decoded, "settled", F.lit("inventory_only"))
+    return rows.select(*resources.columns, "width", "height", "frames", "luma", "alpha", "red", "green", "blue", "detailed", status.alias("status"), "issues", F.coalesce("savings", F.lit(0).cast("long")).alias("savings"), "error"), candidates
+
+
+def report(spark: SparkSession, root: str) -> DataFrame:
+    """How many resources of a project have each status, and what their recommended candidates save."""
+    return reports.status_counts(analyze(spark, root)[0])
+
+
+def similar_groups(spark: SparkSession, root: str) -> DataFrame:
+    """(path, reference): groups of images of a project that are the same or look alike, around the largest, first by path."""
+    files = tree(spark, root, links=True)
+    resources = inventory.inventory(files)
+    prints = fingerprints(files, resources).where("error is null")
+    known = prints.join(_pngs(files, resources).select("path", F.sha2("content", 256).alias("sha256")), "path").join(resources.select("path", "bytes"), "path")
+    grid = lambda n: similarity.decode_grid(F.col(n)).alias(n)
+    entries = known.select(F.split("path", "/").alias("id"), "bytes", classify.variant_key(F.col("path")).alias("variant"), "frames", "width", "height", grid("luma"), grid("alpha"), "red", "green", "blue", "detailed", "sha256")
+    groups = similarity.image_groups(entries)
+    return groups.select(F.array_join("id", "/").alias("path"), F.array_join("reference", "/").alias("reference"))
+
+
 def min_sdk(spark: SparkSession, root: str) -> DataFrame:
     files = tree(spark, root).where(usage.file_name(F.col("path")).isin(usage.CATALOG, *usage.BUILDS))
     return usage.min_sdk(files.select("path", F.col("content").cast("string").alias("text")))

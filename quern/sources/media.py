@@ -119,6 +119,33 @@ def pixels(data: bytes) -> np.ndarray:
     return out
 
 
+#: Pixels of an image that images() expands.
+MAX_PIXELS = 1 << 24
+
+
+def images(files: DataFrame) -> DataFrame:
+    """files (path, content) of PNGs -> (path, width, height, frames, rgba, error): pixels as similarity.fingerprint() takes them, premultiplied, one image at a time; an image of over MAX_PIXELS, or broken, has an error and no pixels."""
+
+    def look(data: bytes) -> tuple:
+        if data.startswith(SIGNATURE) and len(data) >= 24 and int.from_bytes(data[16:20]) * int.from_bytes(data[20:24]) > MAX_PIXELS:
+            return (None, None, None, None, "too many pixels")
+        try:
+            rgba = pixels(data).astype(np.float32) / 65535
+        except (ValueError, KeyError, IndexError, zlib.error, struct.error) as e:
+            return (None, None, None, None, f"{type(e).__name__}: {e}")
+        rgba[:, :, :3] *= rgba[:, :, 3:]
+        return (rgba.shape[1], rgba.shape[0], 1, rgba.ravel(), None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"path": pa.string(), "width": pa.int32(), "height": pa.int32(), "frames": pa.int32(), "rgba": pa.list_(pa.float32()), "error": pa.string()}
+        for batch in batches:
+            for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
+                row = (path.as_py(), *look(data.as_py() or b""))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds.values(), strict=True)], names=list(kinds))
+
+    return files.select("path", "content").mapInArrow(run, "path string, width int, height int, frames int, rgba array<float>, error string")
+
+
 def equal_images(a: bytes, b: bytes) -> bool:
     """Whether two PNGs show the same, whatever their encoding."""
     x, y = pixels(a), pixels(b)

@@ -6,6 +6,9 @@ import json
 import os
 import tempfile
 import tomllib
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,22 +43,32 @@ def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.drop("candidates"), candidates
 
 
-def report_document(resources: DataFrame, candidates: DataFrame, root: str) -> DataFrame:
-    """One row `json`: the report of resources (index, ...) and candidates (resource, candidate, ...). Each resource's candidates are gathered in order; the document is one row by its format."""
+def report_rows(resources: DataFrame, candidates: DataFrame) -> DataFrame:
+    """resources (index, ...), candidates (resource, candidate, ...) -> (index, json): each resource's part of a report, with its candidates in order."""
     fields = [c for c in candidates.columns if c not in ("resource", "candidate")]
     own = candidates.groupBy(F.col("resource").alias("index")).agg(F.transform(F.sort_array(F.collect_list(F.struct("candidate", F.struct(*fields).alias("c")))), lambda x: x["c"]).alias("candidates"))
     rows = resources.join(own, "index", "left")
-    body = [c for c in rows.columns if c != "index"]
-    listed = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("index", F.to_json(F.struct(*body)).alias("j")))), lambda x: x["j"]).alias("rows"))
-    head = F.lit(json.dumps({"schema_version": 2, "root": root})[:-1] + ', "resources": [')
-    return listed.select(F.concat(head, F.array_join("rows", ",\n"), F.lit("]}")).alias("json"))
+    return rows.select("index", F.to_json(F.struct(*[c for c in rows.columns if c != "index"])).alias("json"))
+
+
+def _head(root: str) -> str:
+    return json.dumps({"schema_version": 2, "root": root})[:-1] + ', "resources": ['
 
 
 def write_report(resources: DataFrame, candidates: DataFrame, root: str, directory: str) -> None:
-    """analysis.json and report.html in a directory that the driver can write. What has no size bound belongs in a table; use the DataFrames themselves there."""
+    """analysis.json and report.html in a directory that the driver can write.
+
+    The document is one file by its format: its rows are sorted by the cluster and streamed into it one partition after
+    another, so neither the driver nor a task holds it whole. What has no size bound belongs in a table; use the DataFrames themselves there.
+    """
     os.makedirs(directory, exist_ok=True)
-    text = report_document(resources, candidates, root).first()["json"]
-    replace_file(os.path.join(directory, "analysis.json"), text.encode())
+    rows = report_rows(resources, candidates).orderBy("index").select("json")
+    path = os.path.join(directory, "analysis.json")
+    with replacing(path) as f:
+        f.write(_head(root).encode())
+        for n, r in enumerate(rows.toLocalIterator()):
+            f.write((",\n" * bool(n) + r["json"]).encode())
+        f.write(b"]}")
     refresh_report(directory)
 
 
@@ -75,32 +88,34 @@ def safe_in_html(text: str) -> str:
     return text
 
 
-def create_file(path: str, data: bytes) -> None:
-    """A new file, whole or not at all; FileExistsError if there is one."""
-    made = _temporary(path, data)
+@contextmanager
+def replacing(path: str, new: bool = False) -> Iterator[IO[bytes]]:
+    """A file's new content to write to, whole or unchanged; its permissions stay. new: FileExistsError if there is one."""
+    handle, made = tempfile.mkstemp(dir=os.path.dirname(path) or ".", prefix=".tmp-")
     try:
-        os.link(made, path)
+        with os.fdopen(handle, "wb") as f:
+            yield f
+            f.flush()
+            os.fsync(f.fileno())
+        if new:
+            os.link(made, path)
+            return
+        os.chmod(made, os.stat(path).st_mode & 0o7777 if os.path.exists(path) else 0o644)
+        os.replace(made, path)
     finally:
-        os.unlink(made)
+        if os.path.exists(made):
+            os.unlink(made)
 
 
-def replace_file(path: str, data: bytes) -> None:
-    """The file with new content, whole or unchanged; its permissions stay."""
-    made = _temporary(path, data)
-    if os.path.exists(path):
-        os.chmod(made, os.stat(path).st_mode & 0o7777)
-    else:
-        os.chmod(made, 0o644)
-    os.replace(made, path)
+def create_file(path: str, data: bytes) -> None:
+    """A new file, whole or not at all; FileExistsError if there is one."""
+    with replacing(path, new=True) as f:
+        f.write(data)
 
 
-def _temporary(path: str, data: bytes) -> str:
-    handle, made = tempfile.mkstemp(dir=os.path.dirname(path) or ".", prefix=".tmp-")
-    with os.fdopen(handle, "wb") as f:
+def replace_file(path: str, data: bytes) -> None:
+    with replacing(path) as f:
         f.write(data)
-        f.flush()
-        os.fsync(f.fileno())
-    return made
 
 
 def plan_problems(candidates: DataFrame) -> DataFrame:
@@ -135,13 +150,15 @@ def plan_order(candidates: DataFrame) -> DataFrame:
 
 
 def write_plan(candidates: DataFrame, blobs: DataFrame, root: str, backend: str, directory: str) -> None:
-    """A plan as a new folder: `blobs` (sha256, content) once each as a table by the first two digits of the hash, and `plan.json`."""
+    """A plan as a new folder: `blobs` (sha256, content) once each as a table by the first two digits of the hash, and `plan.json`, whose rows the cluster sorts and the driver streams into the file."""
     once = blobs.select("sha256", "content").dropDuplicates(["sha256"]).withColumn("prefix", F.substring("sha256", 1, 2))
     once.write.partitionBy("prefix").mode("errorifexists").parquet(os.path.join(directory, "blobs"))
-    rows = plan_order(candidates).toPandas().to_dict("records")  # a plan is a document; each row is some hundred bytes
-    text = json.dumps({"schema_version": 1, "backend": backend, "root": root, "candidates": rows}, default=int)
-    local = directory.removeprefix("file://")
-    create_file(os.path.join(local, "plan.json"), text.encode())
+    head = json.dumps({"schema_version": 1, "backend": backend, "root": root})[:-1] + ', "candidates": ['
+    with replacing(os.path.join(directory.removeprefix("file://"), "plan.json"), new=True) as f:
+        f.write(head.encode())
+        for n, r in enumerate(plan_order(candidates).select(F.to_json(F.struct("*")).alias("json")).toLocalIterator()):
+            f.write(("," * bool(n) + r["json"]).encode())
+        f.write(b"]}")
 
 
 def append_journal(events: DataFrame, directory: str) -> None:

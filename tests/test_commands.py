@@ -40,6 +40,30 @@ def test_scan_and_usage(spark, tmp_path):
     assert commands.min_sdk(spark, str(tmp_path)).first()["level"] == 24
 
 
+def test_from_files_to_report(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    y, x = np.mgrid[0:64, 0:64]
+    art = np.stack([x * 4, y * 4, (x + y) * 2, np.full_like(x, 255)], axis=2)
+    put(tmp_path, "Resources/a.png", png(art))
+    put(tmp_path, "Resources/b/a.png", png(art))  # the same file, another asset
+    put(tmp_path, "Resources/c.png", png(np.clip(art + [1, 0, 1, 0], 0, 255)))
+    put(tmp_path, "Resources/other.png", png(rng.integers(0, 256, (64, 64, 4)) // 2 + [0, 0, 120, 0]))
+    put(tmp_path, "Resources/broken.png", b"\x89PNG\r\n\x1a\nxx")
+    put(tmp_path, "Resources/tune.mp3", b"ID3")
+    resources, candidates = commands.analyze(spark, str(tmp_path))
+    got = {r["path"]: r for r in resources.collect()}
+    assert got["Resources/broken.png"]["status"] == "failed" and got["Resources/tune.mp3"]["status"] == "unsupported"
+    assert (got["Resources/a.png"]["width"], len(got["Resources/a.png"]["luma"]), got["Resources/a.png"]["alpha"]) == (64, 512, "")
+    saved = {r["resource"]: r["savings_bytes"] for r in candidates.where("valid").collect()}
+    assert {p for p, r in got.items() if r["status"] == "candidates_available"} == set(saved) and all(got[p]["savings"] == n for p, n in saved.items())
+    counts = {r["status"]: r["n"] for r in commands.report(spark, str(tmp_path)).collect()}
+    assert sum(counts.values()) == 6 and counts["failed"] == 1
+    groups = {}
+    for r in commands.similar_groups(spark, str(tmp_path)).collect():
+        groups.setdefault(r["reference"], set()).add(r["path"])
+    assert list(groups.values()) == [{"Resources/a.png", "Resources/b/a.png", "Resources/c.png"}]
+
+
 def test_catalogs_by_their_own_rules(spark, tmp_path):
     one = b'{"images": [{"filename": "a.png"}, {"filename": "../x.png"}, {"filename": "gone.png"}, {"idiom": "x"}]}'
     for where in ("App/A.xcassets/s.imageset", "Pods/P.xcassets/s.imageset", "node_modules/m/N.xcassets/s.imageset", "App/B.xcassets/s.imageset", "App/C.xcassets/group/Inner.xcassets/s.imageset"):
