@@ -33,6 +33,9 @@ class NearDup:
     (deviation 5); 92 bits stand for 56 values, five deviations away.
     fine_values, fine_words, fine_far: the same for the second sketch, made only for documents that share a bucket with
     another component. At 0.8, 380 of 1,900 values differ (deviation 20 with the bitmap's own); 755 bits stand for 471.
+    set_words: 64-bit words of a third sketch, the parity bitmap of the set itself. Two such bitmaps differ in at most as many
+    bits as the sets have shingles apart, and in nearly as many if those are few, so it rules out without loss what the
+    second lets through of short texts.
     """
 
     shingle: int = 5
@@ -44,6 +47,7 @@ class NearDup:
     fine_values: int = 1_900
     fine_words: int = 64
     fine_far: int = 755
+    set_words: int = 16
 
 
 #: Fixed seeds of up to 2048 hash functions.
@@ -91,6 +95,14 @@ def odd_sketch(mins: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view("<u8")
 
 
+def set_sketch(values: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """Parity bitmaps of 64 * words bits of sets as shingle_sets() gives them: each member flips the bit that it hashes to."""
+    n, bits = len(at) - 1, words * 64
+    bit = (mix(values) % U(bits)).astype(np.int64) + np.repeat(np.arange(n), np.diff(at)) * bits
+    flips = np.bincount(bit, minlength=n * bits).reshape(n, bits) & 1
+    return np.packbits(flips.astype(np.uint8), axis=1, bitorder="little").view("<u8").reshape(n, words)
+
+
 def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
 
@@ -142,6 +154,10 @@ def _set_batches(size: int):
     return run
 
 
+def _fine_names(p: NearDup) -> list[str]:
+    return [*[f"f{i}" for i in range(p.fine_words)], *[f"e{i}" for i in range(p.set_words)]]
+
+
 def _fine_batches(p: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,8 +165,9 @@ def _fine_batches(p: NearDup):
                 values, at = shingle_sets(part.column("text"), p.shingle)
                 full = np.flatnonzero(np.diff(at))
                 sketch = odd_sketch(minhashes(values, at[:-1][full], p.fine_values), p.fine_words) if len(full) else np.zeros((0, p.fine_words), U)
+                sketch = np.hstack([sketch, set_sketch(values, at, p.set_words)[full]])
                 low = np.add.reduceat(mix(values), at[:-1][full]) if len(full) else np.zeros(0, U)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(full)), pa.array(low.view(np.int64)), *[pa.array(sketch[:, i].copy().view(np.int64)) for i in range(p.fine_words)]], names=["id", "low", *[f"f{i}" for i in range(p.fine_words)]])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(full)), pa.array(low.view(np.int64)), *[pa.array(sketch[:, i].copy().view(np.int64)) for i in range(sketch.shape[1])]], names=["id", "low", *_fine_names(p)])
 
     return run
 
@@ -199,10 +216,17 @@ def _near_duplicates(docs: DataFrame, p: NearDup) -> DataFrame:
         return docs.join(small(ids, known.count()), "doc_id", "left_semi"), known
 
     def refine(ids: DataFrame):
-        fine = [f"f{i}" for i in range(p.fine_words)]
+        fine = _fine_names(p)
         rows, known = texts(ids.select(F.col("id").alias("node")))
         found = rows.mapInArrow(_fine_batches(p), "id long, low long, " + ", ".join(f"{c} long" for c in fine)).dropDuplicates(["id", "low"])
-        return save(found.join(known, ["id", "low"]).select(F.col("node").alias("id"), *fine), "fine"), lambda x, y: _apart(x, y, fine) <= p.fine_far
+
+
+        def nearer(x, y):
+            # common * 100 >= union * percent, as a bound on the shingles that one of the two lacks
+            lacking = _apart(x, y, fine[p.fine_words :]) * (100 + p.percent) <= (x("n_shingles") + y("n_shingles")) * (100 - p.percent)
+            return lacking & (_apart(x, y, fine[: p.fine_words]) <= p.fine_far)
+
+        return save(found.join(known, ["id", "low"]).select(F.col("node").alias("id"), *fine), "fine"), nearer
 
     def verify(pairs: DataFrame) -> DataFrame:
         rows, known = texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))

@@ -1,5 +1,6 @@
 """Kernels against plain Python, without Spark."""
 
+import itertools
 import re
 import zlib
 
@@ -53,6 +54,19 @@ def test_odd_sketch_counts_differences():
     assert not (near_dup.odd_sketch(a, 64) ^ near_dup.odd_sketch(a.copy(), 64)).any()
 
 
+def test_set_sketches_differ_in_no_more_bits_than_the_sets():
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base[:50]), " ".join([*base[:30], "other", *base[31:]]), "", " ".join(base)]
+    values, at = near_dup.shingle_sets(pa.array(texts, pa.string()), 2)
+    sets = [set(values[a:b].tolist()) for a, b in itertools.pairwise(at)]
+    bits = near_dup.set_sketch(values, at, 16)
+    assert bits.shape == (5, 16) and not bits[3].any()
+    for i, j in itertools.combinations(range(5), 2):
+        apart, bound = int(np.bitwise_count(bits[i] ^ bits[j]).sum()), len(sets[i] ^ sets[j])
+        assert bound - 4 <= apart <= bound and (bound - apart) % 2 == 0
+
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(TEXTS, st.sampled_from(["<|endoftext|> a <|endoftext|>", "x  y\n\n z", "don't 12 34"])), min_size=1, max_size=5))
 def test_encoder_equals_tokenizers(texts):
