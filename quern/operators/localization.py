@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.storage import checkpoint, save, workspace
+
 # Fixed value: a printf token; a space after the sign is prose.
 TOKEN = r"%%|%(?:\d+\$)?[-+#0]*\d*(?:\.\d+)?(?:hh|h|ll|l|q|z|t|j|L)?[@diouxXeEfFgGaAcCsSp]"
 MAX_ISSUES, MAX_TEXT = 500, 160
@@ -173,6 +175,11 @@ def identity(path: Column, fmt: Column, language: Column) -> Column:
     return F.when(fmt == "xcstrings", make(fmt, stem, join(fmt, path), none)).when(fmt.isin("strings", "stringsdict"), apple).otherwise(android)
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """df to be joined by sorting: it grows with the tables, and short rows that look small when written would fill the driver if broadcast."""
+    return df.hint("merge")
+
+
 def tables(entries: DataFrame) -> DataFrame:
     """Entries of files (path, format, language, declared, key, ...) as read from disk -> the same with group, table and label.
 
@@ -186,7 +193,7 @@ def tables(entries: DataFrame) -> DataFrame:
     claims = files.groupBy("group", "file_language").agg(F.count("*").alias("claims"))
     folder = F.regexp_extract("path", "(?:^|/)([^/]*)/[^/]*$", 1)
     shared = F.when(F.col("claims") > 1, F.concat("file_language", F.lit(" ("), folder, F.lit(")"))).otherwise(F.col("file_language"))
-    rows = rows.join(claims, ["group", "file_language"], "left")
+    rows = rows.join(_large(claims), ["group", "file_language"], "left")
     return rows.withColumn("label", F.coalesce(shared, "language")).drop("claims", "file_language")
 
 
@@ -203,17 +210,17 @@ def table_cells(rows: DataFrame) -> DataFrame:
     last = rows.groupBy("group", "label", "key").agg(F.max_by(F.struct("value_kind", "value", "status", "stale", "translatable"), "seq").alias("e")).select("group", F.col("label").alias("language"), "key", "e.*")
     source = table_sources(rows)
     names = rows.groupBy("group").agg(F.first("table").alias("table"), F.bool_or(F.col("format") == "xcstrings").alias("key_is_text"))
-    head = source.join(names, "group")
-    told = last.join(head, "group")
+    head = source.join(_large(names), "group")
+    told = last.join(_large(head), "group")
     barred = last.where(~F.col("translatable")).select("group", "key").distinct()
     held = told.where("language = source").select("group", "key").distinct()
     with_source = held.select("group").distinct().withColumn("has_source", F.lit(True))
-    keys = last.select("group", "key").distinct().join(barred, ["group", "key"], "left_anti").join(held.withColumn("in_source", F.lit(True)), ["group", "key"], "left").join(with_source, "group", "left")
+    keys = last.select("group", "key").distinct().join(_large(barred), ["group", "key"], "left_anti").join(_large(held.withColumn("in_source", F.lit(True))), ["group", "key"], "left").join(_large(with_source), "group", "left")
     keys = keys.where("has_source is null or in_source").select("group", "key")
     labels = last.select("group", "language").distinct()
-    grid = keys.join(labels, "group").join(head, "group")
+    grid = keys.join(_large(labels), "group").join(_large(head), "group")
     original = told.where("language = source and value_kind = 'singular'").select("group", "key", F.col("value").alias("original"))
-    out = grid.join(last.withColumn("here", F.lit(True)), ["group", "language", "key"], "left").join(original, ["group", "key"], "left")
+    out = grid.join(_large(last.withColumn("here", F.lit(True))), ["group", "language", "key"], "left").join(_large(original), ["group", "key"], "left")
     text = F.col("value_kind") == "singular"
     outcome = F.when(F.col("here").isNull(), "missing").when(text & (F.col("value") == ""), "empty").when(text | (F.col("value_kind") == "plural"), "translated")
     outcome = outcome.when(F.col("key_is_text") & (F.col("language") == F.col("source")), "translated").otherwise("missing")
@@ -225,15 +232,23 @@ def table_cells(rows: DataFrame) -> DataFrame:
 
 
 def table_coverage(rows: DataFrame) -> DataFrame:
-    """tables() -> (group, table, source, language, keys, translated, missing, empty, needs_review, extra, issues, share): a row for each table and language, the source first by source_first."""
+    """tables() -> (group, table, source, language, keys, translated, missing, empty, needs_review, extra, issues, share): a row for each table and language, the source first by source_first.
+
+    rows are saved first, as they are read many times and may come out of files that are parsed.
+    """
+    with workspace(rows.sparkSession):
+        return checkpoint(save(_table_coverage(save(rows))))
+
+
+def _table_coverage(rows: DataFrame) -> DataFrame:
     found = table_cells(rows)
     count = lambda cond, name: F.count_if(cond).alias(name)
     done = found.groupBy("group", "table", "source", "language").agg(F.count("*").alias("keys"), *[count(F.col("outcome") == o, o) for o in ("translated", "missing", "empty")], count(F.col("needs_review"), "needs_review"), count(F.col("issue").isNotNull(), "issues"))
     last = rows.select("group", F.col("label").alias("language"), "key", "translatable").distinct()
     source = table_sources(rows)
     barred = last.where(~F.col("translatable")).select("group", "key").distinct()
-    held = last.join(source, "group").where("language = source").select("group", "key").distinct()
-    extra = last.select("group", "language", "key").distinct().join(held.select("group").distinct(), "group", "left_semi").join(held, ["group", "key"], "left_anti").join(barred, ["group", "key"], "left_anti")
+    held = last.join(_large(source), "group").where("language = source").select("group", "key").distinct()
+    extra = last.select("group", "language", "key").distinct().join(_large(held.select("group").distinct()), "group", "left_semi").join(_large(held), ["group", "key"], "left_anti").join(_large(barred), ["group", "key"], "left_anti")
     extra = extra.groupBy("group", "language").agg(F.count("*").alias("extra"))
-    out = done.join(extra, ["group", "language"], "left").withColumn("extra", F.coalesce("extra", F.lit(0).cast("long")))
+    out = done.join(_large(extra), ["group", "language"], "left").withColumn("extra", F.coalesce("extra", F.lit(0).cast("long")))
     return out.withColumn("share", F.when(F.col("keys") > 0, F.least(F.col("translated") / F.col("keys"), F.lit(1.0))))

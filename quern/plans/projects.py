@@ -111,7 +111,7 @@ def _translations(spark, sf_dir):
     german = F.concat(F.lit('"a" = "'), a, F.lit('";'), F.when(m % 2 == 0, ' "b" = "zwei";').otherwise(""), F.when(m % 5 == 0, ' "z" = "mehr";').otherwise(""))
     text = F.when(F.col("k") % 2 == 0, '"a" = "one %@"; "b" = "two"; "c" = "three";').otherwise(german)
     path = F.concat(F.lit("B"), m, F.when(F.col("k") % 2 == 0, "/en.lproj/T.strings").otherwise("/de.lproj/T.strings"))
-    return p.select(path.alias("path"), F.octet_length(text).cast("long").alias("bytes"), text.cast("binary").alias("content"))
+    return p.select(path.alias("path"), F.octet_length(text).cast("long").alias("bytes"), text.cast("binary").alias("content")).repartition("path")  # keys are few bytes, parsing their files is not
 
 
 def _tables(spark, sf_dir):
